@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, sharding
+from . import langid, licenses, quality_rules, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,10 +15,18 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(_docs(spark, sf_dir))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(_docs(spark, sf_dir))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op9_sharding)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.digest(_docs(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_licenses, op7_langid, op9_sharding, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
