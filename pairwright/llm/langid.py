@@ -1,7 +1,7 @@
 """Language identification by cross-parsing.
 
-For each language a suffix automaton of sample text (A-Z lower-cased, as bytes) is built on the
-driver. A text is parsed greedily into the longest phrases that the sample holds; the
+For each language a suffix automaton of sample text (letters lower-cased, all else a space,
+as bytes) is built on the driver. A text is parsed greedily into the longest phrases that the sample holds; the
 language with the fewest phrases for the text's length wins. The automata are flat transition tables, so that many segments of
 texts are parsed in step, one table look-up a byte and language.
 """
@@ -41,6 +41,26 @@ def sample_rows(df: DataFrame, group_col: str, n: int, id_col: str = "doc_id", m
     return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) < share * (1 << 30)).limit(4 * n * max_groups)
 
 
+#: Bytes as they are parsed: A-Z in lower case, all other ASCII but letters a space.
+_PLAIN = np.where(np.arange(256) >= 128, np.arange(256), 32).astype(np.uint8)
+_PLAIN[97:123] = np.arange(97, 123)
+_PLAIN[65:91] = np.arange(97, 123)
+
+
+def plain(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts as they are parsed: letters lower-cased (ASCII and Latin-1), runs of all else one space."""
+    if not len(data):
+        return data, offsets
+    out = _PLAIN[data]
+    after = np.flatnonzero(data[:-1] == 0xC3) + 1
+    upper = after[(data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97)]
+    out[upper] += 0x20
+    keep = np.ones(len(out), np.bool_)
+    keep[1:] = (out[1:] != 32) | (out[:-1] != 32)
+    keep[offsets[:-1][offsets[:-1] < len(out)]] = True
+    return out[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+
+
 class Automaton:
     """Suffix automaton of a byte string over symbol numbers."""
 
@@ -89,15 +109,14 @@ class Model:
 
     def __init__(self, samples: dict[str, bytes]):
         self.languages = sorted(samples)
-        raw = {k: B.LOWER[np.frombuffer(v, np.uint8)] for k, v in samples.items()}
+        raw = {k: plain(np.frombuffer(v, np.uint8), np.array([0, len(v)]))[0] for k, v in samples.items()}
         seen = np.unique(np.concatenate(list(raw.values()))) if raw else np.zeros(0, np.uint8)
         self.symbol = np.full(256, len(seen), np.int32)  # the last symbol is in no sample
         self.symbol[seen] = np.arange(len(seen))
-        self.symbol = self.symbol[B.LOWER]
         self.width = len(seen) + 1
         self.tables = [Automaton(self.symbol[raw[k]]).table(self.width) for k in self.languages]
         #: Bits that point out a phrase in a sample of this length.
-        self.bits = np.array([math.log2(max(2, len(samples[k]))) for k in self.languages])
+        self.bits = np.array([math.log2(max(2, len(raw[k]))) for k in self.languages])
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases of each text, one column a language."""
@@ -132,7 +151,6 @@ class Model:
         one language. Null texts and such without letters are `und` with score 0; ties go to the first name.
         """
         data, offsets = B.buffer_of(texts)
-        size = np.maximum(np.diff(offsets), 1)
         letter = np.zeros(256, np.bool_)
         letter[[*range(65, 91), *range(97, 123)]] = True
         cum = np.concatenate([[0], np.cumsum(letter[data])])
@@ -140,7 +158,9 @@ class Model:
         for i in np.flatnonzero(~named & (np.diff(offsets) > 0)):
             named[i] = any(c.isalpha() for c in bytes(data[offsets[i]:offsets[i + 1]]).decode("utf-8", "replace"))
         if not self.languages:
-            return ["und"] * len(size), np.zeros(len(size)), np.zeros(len(size))
+            return ["und"] * len(named), np.zeros(len(named)), np.zeros(len(named))
+        data, offsets = plain(data, offsets)
+        size = np.maximum(np.diff(offsets), 1)
         cost = self.phrases(data, offsets) * self.bits / size[:, None]
         best = cost.argmin(axis=1)
         low = cost[np.arange(len(size)), best]
@@ -156,8 +176,8 @@ class Model:
 def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model of the languages of the rows that are not held out, from about SAMPLE_ROWS rows each.
 
-    Rows without text or language teach nothing; of each sampled text an even run of bytes from its middle may be used, so that one long text does
-    not fill a sample. Without labelled rows the model knows no language.
+    Rows without text or language teach nothing. Of a sampled text at most 2,000 characters from its middle are
+    learned, so that one long text does not fill a sample. Without labelled rows the model knows no language.
     """
     rows = df.where(~held_out(id_col) & F.col(text_col).isNotNull() & (F.length(text_col) > 0) & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))

@@ -219,7 +219,7 @@ def measure(texts: pa.Array, refs: dict, max_class: float, max_word: float, min_
 
 
 def assess(df: DataFrame, refs: dict, text_col: str = "text", returned: list[str] | None = None,
-           max_class: float = 0.25, max_word: float = 0.7, min_chars: int = 200, min_words: int = 40) -> DataFrame:
+           max_class: float = 0.28, max_word: float = 0.42, min_chars: int = 200, min_words: int = 40) -> DataFrame:
     """The returned columns of df (default: all) with FIELDS.
 
     Base rule: fewer than 20 words, or over 30 % of them in repeated 8-word windows. The method's verdict: farther
