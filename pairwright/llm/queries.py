@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, minhash, quality_model, quality_rules, sharding
+from . import langid, licenses, minhash, packing, quality_model, quality_rules, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.digest(_docs(spark, sf_dir))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(_docs(spark, sf_dir))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(_docs(spark, sf_dir))
 
@@ -35,6 +39,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_minhash, op7_langid, op8_quality_model, op9_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_minhash, op5_packing, op7_langid, op8_quality_model, op9_sharding, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
