@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, minhash, packing, quality_model, quality_rules, sharding, vectors
+from . import langid, licenses, minhash, mixing, packing, quality_model, quality_rules, sharding, vectors
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.digest(_docs(spark, sf_dir))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(_docs(spark, sf_dir))
+
+
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -43,6 +47,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_minhash, op4_vectors, op5_packing, op7_langid, op8_quality_model, op9_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_minhash, op3_mixing, op4_vectors, op5_packing, op7_langid, op8_quality_model, op9_sharding, op10_quality_rules)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE}
