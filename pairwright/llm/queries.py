@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, minhash, mixing, packing, quality_model, quality_rules, sharding, vectors
+from . import chat, langid, licenses, minhash, mixing, packing, quality_model, quality_rules, sharding, vectors
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(_docs(spark, sf_dir))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(_docs(spark, sf_dir))
 
@@ -47,6 +51,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_minhash, op3_mixing, op4_vectors, op5_packing, op7_langid, op8_quality_model, op9_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_minhash, op3_mixing, op4_vectors, op5_packing, op6_chat, op7_langid, op8_quality_model, op9_sharding, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE}
