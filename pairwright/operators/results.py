@@ -26,18 +26,23 @@ def light(df: DataFrame, row_id: str = "row_id", match: str = "match") -> DataFr
         m["explanation"]["original_a"].alias("original_a"), m["explanation"]["original_b"].alias("original_b"), m["explanation"]["summary"].alias("summary"))
 
 
+def _where(df: DataFrame, condition: Column) -> DataFrame:
+    """A filter that stays above the scores: pushed below, it would make Spark compute them twice."""
+    return df.withColumn("_here", F.monotonically_increasing_id()).where(condition & (F.col("_here") >= 0)).drop("_here")
+
+
 def by_status(df: DataFrame, status: str = "all") -> DataFrame:
-    return df if status.lower() == "all" else df.where(F.col("status") == status)
+    return df if status.lower() == "all" else _where(df, F.col("status") == status)
 
 
 def by_min_score(df: DataFrame, least: float) -> DataFrame:
-    return df.where(F.col("score") >= least)
+    return _where(df, F.col("score") >= least)
 
 
 def search(df: DataFrame, query: str) -> DataFrame:
     """Rows of which either value or the summary holds the query, without case."""
     q = F.lit(query.strip().lower())
-    return df if not query.strip() else df.where(F.contains(F.lower("original_a"), q) | F.contains(F.lower("original_b"), q) | F.contains(F.lower("summary"), q))
+    return df if not query.strip() else _where(df, F.contains(F.lower("original_a"), q) | F.contains(F.lower("original_b"), q) | F.contains(F.lower("summary"), q))
 
 
 SORTS = {"row": "row_index", "score": "score", "val_a": "original_a", "val_b": "original_b", "status": "status"}

@@ -12,6 +12,24 @@ from ..functions.text import tokens
 STATUSES = ["Strong Match", "Likely Match", "Possible Match", "Weak Match", "No Match"]
 
 
+_FIELDS = ["score", "score_raw", "status", "confidence", "matching_type"]
+_EXPLAINED = ["original_a", "original_b", "normalized_a", "normalized_b", "matching_tokens", "tokens_only_in_a", "tokens_only_in_b", "component_scores", "applied_weights", "summary"]
+
+
+def choose(branches: list[tuple[Column, Column]]) -> Column:
+    """The result of the first condition that holds, field by field, so that unused fields are not computed."""
+    def pick(get):
+        out = F.when(branches[0][0], get(branches[0][1]))
+        for condition, value in branches[1:]:
+            out = out.when(condition, get(value))
+        return out
+
+    return F.struct(
+        *[pick(lambda r, f=f: r[f]).alias(f) for f in _FIELDS],
+        F.struct(*[pick(lambda r, f=f: r["explanation"][f]).alias(f) for f in _EXPLAINED]).alias("explanation"),
+    )
+
+
 def composite(components: dict[str, Column], weights: dict[str, float]) -> Column:
     """The mean by weight of the components that have a positive one, within 0 and 100."""
     used = [(components[k], w) for k, w in weights.items() if k in components and w > 0]

@@ -38,15 +38,14 @@ def _matched(st: Stages, col_a: Column, col_b: Column, kind: str, options: Optio
     if kind not in AUTO:
         kind = kind if kind in MATCHERS else "generic_text"
         va, vb = st.add(a=F.when(some, a), b=F.when(some, b))
-        (found,) = st.add(found=MATCHERS[kind](st, va, vb, options))
-        return F.when(some, found).otherwise(empty_result(a, b, options.thresholds))
+        found = MATCHERS[kind](st, va, vb, options)
+        return scoring.choose([(some, found), (F.lit(True), empty_result(a, b, options.thresholds))])
     (own,) = st.add(kind=F.when(some, detect.pair_type(a, b)))
-    out = F.when(~some, empty_result(a, b, options.thresholds))
+    branches = [(~some, empty_result(a, b, options.thresholds))]
     for name in TYPES:
         va, vb = st.add(a=F.when(own == name, a), b=F.when(own == name, b))
-        (found,) = st.add(found=MATCHERS[name](st, va, vb, options))
-        out = out.when(own == name, found)
-    return out
+        branches.append((own == name, MATCHERS[name](st, va, vb, options)))
+    return scoring.choose(branches)
 
 
 def match_columns(df: DataFrame, col_a: str, col_b: str, matching_type: str = "auto", settings: NormalizationSettings | None = None,

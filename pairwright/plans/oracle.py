@@ -123,6 +123,21 @@ def jaro_winkler(q: Sql, name: str, a: str, b: str) -> Sql:
     return jaro(q, name, a, b, True)
 
 
+def osa(q: Sql, name: str, a: str, b: str) -> Sql:
+    """The edit table as a fold over a's characters: the state is the last two rows, a character of code 33 + n for each number n."""
+    width = f"(length({b}) + 1)"
+    first = f"array_to_string(list_transform(range(0, length({b}) + 1), lambda k_: chr((33 + k_)::int)), '')"
+    before, last = f"substr(s_, 1, {width})", f"substr(s_, {width} + 1, {width})"
+    i, j = "i_::bigint", "j_::bigint"
+    n = lambda text_, at: f"(unicode(substr({text_}, {at}, 1)) - 33)"
+    at = lambda c, k: f"substr({c}, {k}, 1)"
+    swap = f"case when {i} > 1 and {j} > 1 and {at(a, i)} = {at(b, j + ' - 1')} and {at(a, i + ' - 1')} = {at(b, j)} then {n(before, j + ' - 1')} + 1 else 1000 end"
+    cell = f"least({n(last, j + ' + 1')} + 1, unicode(right(r_, 1)) - 33 + 1, {n(last, j)} + case when {at(a, i)} = {at(b, j)} then 0 else 1 end, {swap})"
+    row = f"list_reduce(list_transform(range(1, length({b}) + 1), lambda k_: k_::varchar), lambda r_, j_: r_ || chr((33 + {cell})::int), chr((33 + {i})::int))"
+    q.add(**{f"{name}_s": f"list_reduce(list_transform(range(1, length({a}) + 1), lambda k_: k_::varchar), lambda s_, i_: {last} || {row}, {first} || {first})"})
+    return q.add(**{name: guarded(a, b, f"(1 - (unicode(right({name}_s, 1)) - 33)::double / greatest(length({a}), length({b}))) * 100.0::double")})
+
+
 # ---- normal form ----
 
 def strip(c: str) -> str:

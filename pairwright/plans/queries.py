@@ -53,12 +53,12 @@ _measure("partial", M.partial, lambda q: O.partial(q, "m", "a", "b"))
 _measure("ngram", M.ngram, lambda q: O.ngram(q, "m", "a", "b"))
 _measure("jaro", M.jaro, lambda q: O.jaro(q, "m", "a", "b"))
 _measure("jaro_winkler", M.jaro_winkler, lambda q: O.jaro_winkler(q, "m", "a", "b"))
-_measure("damerau_levenshtein", M.damerau_levenshtein, lambda q: q.add(m=O.guarded("a", "b", "(1 - damerau_levenshtein(a, b)::double / greatest(length(a), length(b))) * 100.0::double")))
+_measure("damerau_levenshtein", M.damerau_levenshtein, lambda q: O.osa(q, "m", "a", "b"))
 
 
 def _all_metrics_sql() -> str:
-    q = O.of("text").add(exact_match=O.exact("a", "b"), levenshtein=O.lev("a", "b"), damerau_levenshtein=O.guarded("a", "b", "(1 - damerau_levenshtein(a, b)::double / greatest(length(a), length(b))) * 100.0::double"))
-    for name, f in (("jaro", O.jaro), ("jaro_winkler", O.jaro_winkler), ("token_sort", O.sort_ratio), ("token_set", O.set_ratio), ("jaccard", O.jaccard), ("partial_match", O.partial), ("ngram", O.ngram)):
+    q = O.of("text").add(exact_match=O.exact("a", "b"), levenshtein=O.lev("a", "b"))
+    for name, f in (("damerau_levenshtein", O.osa), ("jaro", O.jaro), ("jaro_winkler", O.jaro_winkler), ("token_sort", O.sort_ratio), ("token_set", O.set_ratio), ("jaccard", O.jaccard), ("partial_match", O.partial), ("ngram", O.ngram)):
         f(q, name, "a", "b")
     return q.select("id, " + ", ".join(f"round({m}, 1) as {m}" for m in M.METRICS))
 
@@ -70,33 +70,32 @@ def _all_metrics(spark, sf_dir):
 
 # ---- normal form ----
 
-def _columns(name: str, pair_set: str, columns: dict[str, Column], sql: dict[str, str]) -> None:
+def _columns(name: str, pair_set: str, columns: Callable[[Column, Column], dict[str, Column]], sql: dict[str, str]) -> None:
     @query(name, O.of(pair_set).select("id, " + ", ".join(f"{v} as {k}" for k, v in sql.items())))
     def _run(spark, sf_dir):
-        return pairs(spark, sf_dir, pair_set).select("id", *[v.alias(k) for k, v in columns.items()])
+        return pairs(spark, sf_dir, pair_set).select("id", *[v.alias(k) for k, v in columns(F.col("a"), F.col("b")).items()])
 
 
 def _register_normal_forms() -> None:
-    a, b = F.col("a"), F.col("b")
     for mode in ("conservative", "standard", "aggressive"):
         s = NormalizationSettings(mode=mode)
-        _columns(f"q_normalize_{mode}", "units", {"x": N.normalize(a, s), "y": N.normalize(b, s)}, {"x": O.normal("a", mode), "y": O.normal("b", mode)})
+        _columns(f"q_normalize_{mode}", "units", lambda a, b, s=s: {"x": N.normalize(a, s), "y": N.normalize(b, s)}, {"x": O.normal("a", mode), "y": O.normal("b", mode)})
     stop = NormalizationSettings(remove_stopwords=True, normalize_numbers=False, expand_abbreviations=False)
     kept = f"list_filter({O.toks(O.normal('a', with_numbers=False, with_expansion=False))}, lambda t_: not list_contains({O.items(N.STOPWORDS)}, t_))"
-    _columns("q_stopwords", "company", {"x": N.normalize(F.concat(F.lit("The "), a, F.lit(" of and by B")), stop)},
+    _columns("q_stopwords", "company", lambda a, b: {"x": N.normalize(F.concat(F.lit("The "), a, F.lit(" of and by B")), stop)},
              {"x": f"array_to_string({kept}, ' ')".replace("coalesce(a, '')", "coalesce('The ' || a || ' of and by B', '')")})
-    _columns("q_tokenize", "address", {"x": F.array_join(N.tokenize(a), "|"), "n": F.size(N.tokenize(b)).cast("long")}, {"x": f"array_to_string({O.toks(O.normal('a'))}, '|')", "n": f"len({O.toks(O.normal('b'))})"})
-    _columns("q_numbers", "units", {"x": N.number_expressions(F.lower(a)), "y": N.number_expressions(F.lower(b))}, {"x": O.numbers("lower(a)"), "y": O.numbers("lower(b)")})
-    _columns("q_extract_numbers", "units", {"x": F.array_join(N.extract_numbers(a), "|"), "n": F.size(N.extract_numbers(b)).cast("long")},
+    _columns("q_tokenize", "address", lambda a, b: {"x": F.array_join(N.tokenize(a), "|"), "n": F.size(N.tokenize(b)).cast("long")}, {"x": f"array_to_string({O.toks(O.normal('a'))}, '|')", "n": f"len({O.toks(O.normal('b'))})"})
+    _columns("q_numbers", "units", lambda a, b: {"x": N.number_expressions(F.lower(a)), "y": N.number_expressions(F.lower(b))}, {"x": O.numbers("lower(a)"), "y": O.numbers("lower(b)")})
+    _columns("q_extract_numbers", "units", lambda a, b: {"x": F.array_join(N.extract_numbers(a), "|"), "n": F.size(N.extract_numbers(b)).cast("long")},
              {"x": r"array_to_string(regexp_extract_all(a, '\b\d+\b'), '|')", "n": r"len(regexp_extract_all(b, '\b\d+\b'))"})
     for name, pair_set, category, rules in (
         ("company", "company", "company", None), ("address", "units", "address", None), ("all", "units", None, None), ("custom", "units", "none", AbbreviationRules().add("Ring", "circle").add("pvt", "own"))):
-        _columns(f"q_abbrev_{name}", pair_set, {"x": N.expand(F.lower(a), rules, category), "y": N.expand(F.lower(b), rules, category)}, {"x": O.expand("lower(a)", category, rules), "y": O.expand("lower(b)", category, rules)})
-    _columns("q_accents", "accents", {"x": strip_accents(a), "y": strip_accents(b)}, {"x": "strip_accents(a)", "y": "strip_accents(b)"})
-    _columns("q_parse_email", "email", {"local": parse.email(a)["local"], "domain": parse.email(a)["domain"]}, {"local": "trim(split_part(lower(a), '@', 1))", "domain": "trim(split_part(lower(a), '@', 2))"})
-    _columns("q_detect_value", "mixed", {"x": detect.value_type(a), "y": detect.value_type(b)}, {"x": O.value_type("a"), "y": O.value_type("b")})
+        _columns(f"q_abbrev_{name}", pair_set, lambda a, b, rules=rules, category=category: {"x": N.expand(F.lower(a), rules, category), "y": N.expand(F.lower(b), rules, category)}, {"x": O.expand("lower(a)", category, rules), "y": O.expand("lower(b)", category, rules)})
+    _columns("q_accents", "accents", lambda a, b: {"x": strip_accents(a), "y": strip_accents(b)}, {"x": "strip_accents(a)", "y": "strip_accents(b)"})
+    _columns("q_parse_email", "email", lambda a, b: {"local": parse.email(a)["local"], "domain": parse.email(a)["domain"]}, {"local": "trim(split_part(lower(a), '@', 1))", "domain": "trim(split_part(lower(a), '@', 2))"})
+    _columns("q_detect_value", "mixed", lambda a, b: {"x": detect.value_type(a), "y": detect.value_type(b)}, {"x": O.value_type("a"), "y": O.value_type("b")})
     x, y = O.value_type("a"), O.value_type("b")
-    _columns("q_auto_type", "mixed", {"kind": detect.pair_type(a, b)}, {"kind": f"case when {x} <> 'generic_text' then {x} else {y} end"})
+    _columns("q_auto_type", "mixed", lambda a, b: {"kind": detect.pair_type(a, b)}, {"kind": f"case when {x} <> 'generic_text' then {x} else {y} end"})
 
 
 _register_normal_forms()
@@ -159,9 +158,21 @@ _matcher("address", "address", "address", O.match_address)
 _matcher("generic", "text", "generic_text", O.match_generic)
 
 
-@query("q_match_auto")
+def _auto_sql() -> str:
+    """Each type's matcher over the rows of that type, and the rows with an empty side."""
+    x, y = O.value_type("a"), O.value_type("b")
+    typed = O.Sql(f"select id, {O.clean('a')} as a, {O.clean('b')} as b from ({PAIRS['mixed']})").add(kind=f"case when a = '' or b = '' then 'empty' when {x} <> 'generic_text' then {x} else {y} end").query
+    parts = [build(O.Sql(f"select id, a, b from ({typed}) where kind = '{kind}'")).select(_RESULT) for kind, build in (
+        ("generic_text", O.match_generic), ("address", O.match_address), ("person_name", O.match_name), ("company", O.match_company), ("email", O.match_email), ("phone", O.match_phone), ("id_code", O.match_id))]
+    both = "a = '' and b = ''"
+    score = f"case when {both} then 100.0::double else 0.0::double end"
+    words = lambda c: O.joined(f"list_distinct({O.toks(c)})")
+    parts.append(f"select id, {score} as score, {score} as score_raw, case when {both} then 'Strong Match' else 'No Match' end as status, 'High' as confidence, 'generic_text' as matching_type, a as normalized_a, b as normalized_b, '' as matching_tokens, {words('a')} as only_a, {words('b')} as only_b, case when {both} then 'Both values are empty.' else 'One value is missing.' end as summary from ({typed}) where kind = 'empty'")
+    return " union all ".join(parts)
+
+
+@query("q_match_auto", _auto_sql())
 def _match_auto(spark, sf_dir):
-    """Every row by its own type; no SQL, as seven matchers would have to be written into one."""
     return _flat(match_columns(pairs(spark, sf_dir, "mixed"), "a", "b", "auto", per_row=True))
 
 
@@ -291,7 +302,7 @@ def _sort(spark, sf_dir):
     return results.with_row_id(results.sort(_light(spark, sf_dir)), "place").select("row_index", "place")
 
 
-@query("q_page", _ID.select(_LIGHT, "order by score desc, id limit 100 offset 200"))
+@query("q_page", _ID.select(_LIGHT, "order by score desc, id limit 100 offset (select (least(3, greatest(1, (count(*) + 99) // 100)) - 1) * 100 from customer)"))
 def _page(spark, sf_dir):
     return results.page(results.sort(_light(spark, sf_dir)), 3, 100)
 
