@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from .dictionary import DELIMITERS, AbbreviationRules
-from .text import collapse, strip, strip_accents, tokens
+from .text import collapse, let, strip, strip_accents, tokens
 
 # Words to numbers, in the order of their replacement.
 WORD_NUMBERS = {
@@ -34,8 +34,16 @@ STOPWORDS = ["the", "and", "or", "in", "on", "at", "to", "for", "of", "with", "a
 PUNCTUATION = r"""[.,\-_/\\()\[\]{}:;'"#&~+=?!$*@%|><]"""
 
 
+#: What a text must hold for any of the rules to change it.
+_NUMBER_GATE = "(?i)[0-9#]|fl|gf|basement|apt|apartment|ste|suite|unit|" + "|".join(WORD_NUMBERS)
+
+
 def number_expressions(c: Column) -> Column:
     """Numbers, floors, units and number words in one way of writing."""
+    return let(c, lambda v: F.when(v.rlike(_NUMBER_GATE), _number_rules(v)).otherwise(v))
+
+
+def _number_rules(c: Column) -> Column:
     for i, (pattern, becomes) in enumerate(NUMBER_RULES):
         c = F.regexp_replace(c, ("(?U)" if i == 1 else "(?iU)") + pattern, becomes)
     for word, number in WORD_NUMBERS.items():

@@ -26,5 +26,11 @@ def pairs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = PAIRS[name]
     for table in ("part", "customer"):
         if f" {table}" in sql:
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+            spread(spark.read.parquet(f"{sf_dir}/{table}.parquet")).createOrReplaceTempView(table)
     return spark.sql(sql)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: scoring costs far more than moving the rows of a table with fewer partitions than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
