@@ -4,28 +4,42 @@ Each distinct shingle set is signed by BANDS * ROWS universal hash minima. Docum
 band are candidates; candidates are checked on short signatures, then on their full shingle sets;
 confirmed links go to connected components.
 
-Within a bucket, members are first linked to one centre, so a bucket of n documents makes n pairs. What
-components are then still apart in one bucket is compared in full, so that no link is lost to the
-short cut; pairs already in one component are never compared.
+Within a bucket, members are first linked to one centre, so a bucket of n documents makes n pairs. Members whose
+components are then still apart are compared in full, so that no link is lost to the short cut: buckets are cut
+into chunks of bounded size that meet two by two, and a task gives the links that join components, not the
+pairs it looks at. Pairs already in one component are never compared.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bytescan as B
 from .components import connected
 from .storage import discard, materialize
 
 BANDS, ROWS = 24, 5
-#: Of BANDS * ROWS one-byte minima so many agree at least in all but one of 10**12 pairs of similarity 0.8.
-LEAST_AGREEING = 62
+#: Documents, and shingles, in a chunk, about.
+CHUNK_ROWS, CHUNK_SHINGLES = 512, 50_000
 SEED = 41
-#: Candidate ids up to this count (8 MB) are broadcast to pick their texts; more are joined by shuffle.
-MAX_BROADCAST_IDS = 1_000_000
+#: Tables of up to so many narrow rows (16 to 32 MB) are broadcast; longer ones are joined by shuffle.
+MAX_BROADCAST_ROWS = 1_000_000
 SIGN_SCHEMA = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, signature binary"
+SET_SCHEMA = "doc_id long, n_shingles long, bands array<long>, signature binary, shingles binary"
+
+
+def least_agreeing(percent: int) -> int:
+    """So many one-byte minima agree at least in all but one of 10**9 pairs of this similarity."""
+    n, p, left = BANDS * ROWS, percent / 100, 0.0
+    for k in range(n):
+        left += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if left > 1e-9:
+            return k
+    return n
 
 
 def _hash_family() -> tuple[np.ndarray, np.ndarray]:
@@ -49,20 +63,33 @@ def minima(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def _sign(batches):
+def _signs(batches, columns):
+    """The named columns for each text of rows doc_id, text."""
     for batch in B.slices(batches, max_bytes=1_000_000):
-        words = B.Words(B.LOWER[(got := B.buffer_of(batch.column(1)))[0]], got[1])
-        sets, offsets = B.shingle_sets(words)
-        n = np.diff(offsets)
+        data, at = B.buffer_of(batch.column(1))
+        sets, offsets = B.shingle_sets(B.Words(B.LOWER[data], at))
         low = minima(sets, offsets)
-        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (B.mix(sets + np.uint64(0x1234567)), B.mix(sets ^ np.uint64(0x5DEECE66D)))]
-        h1, h2 = ((s[offsets[1:]] - s[offsets[:-1]]).view(np.int64) for s in sums)
-        band = np.zeros((len(n), BANDS), np.uint64)
-        for r in range(ROWS):
-            band = B.mix(band * np.uint64(31) + low[:, r::ROWS].astype(np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(1 << 33))
-        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(band.ravel().view(np.int64)))
-        signature = pa.array([row.tobytes() for row in low.astype(np.uint8)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(h1), pa.array(h2), bands, signature], ["doc_id", "n_shingles", "h1", "h2", "bands", "signature"])
+        made = {"doc_id": lambda: batch.column(0), "n_shingles": lambda: pa.array(np.diff(offsets)), "signature": lambda: pa.array([row.tobytes() for row in low.astype(np.uint8)], pa.binary()),
+                "bands": lambda: _bands(low), "h1": lambda: _sums(B.mix(sets + np.uint64(0x1234567)), offsets), "h2": lambda: _sums(B.mix(sets ^ np.uint64(0x5DEECE66D)), offsets),
+                "shingles": lambda: pa.array([sets[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:])], pa.binary())}
+        yield pa.RecordBatch.from_arrays([made[c]() for c in columns], columns)
+
+
+def _bands(low: np.ndarray) -> pa.Array:
+    band = np.zeros((len(low), BANDS), np.uint64)
+    for r in range(ROWS):
+        band = B.mix(band * np.uint64(31) + low[:, r::ROWS].astype(np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(1 << 33))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(low) + 1, dtype=np.int32) * BANDS), pa.array(band.ravel().view(np.int64)))
+
+
+def _sums(x: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
+    return pa.array((total[offsets[1:]] - total[offsets[:-1]]).view(np.int64))
+
+
+def _signed(docs: DataFrame, schema: str) -> DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+    return docs.mapInArrow(lambda batches: _signs(batches, names), schema)
 
 
 def _confirm(percent: int):
@@ -70,50 +97,162 @@ def _confirm(percent: int):
         for batch in batches:
             for part in B.slices([batch], "text_a", 2_000_000):
                 left, right = (B.shingle_sets(B.Words(B.LOWER[(got := B.buffer_of(part.column(part.schema.get_field_index(c))))[0]], got[1])) for c in ("text_a", "text_b"))
-                linked = np.zeros(part.num_rows, np.bool_)
-                for i in range(part.num_rows):
-                    x, y = left[0][left[1][i]:left[1][i + 1]], right[0][right[1][i]:right[1][i + 1]]
-                    if len(x) > len(y):
-                        x, y = y, x
-                    if not len(x) or 100 * len(x) < percent * len(y):
-                        continue
-                    at = np.searchsorted(y, x)
-                    common = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
-                    linked[i] = 100 * common >= percent * (len(x) + len(y) - common)
+                linked = np.array([_linked(left[0][left[1][i]:left[1][i + 1]], right[0][right[1][i]:right[1][i + 1]], percent) for i in range(part.num_rows)], np.bool_)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(linked)), part.column(1).filter(pa.array(linked))], ["u", "v"])
 
     return run
 
 
-class _Links:
-    """Candidate pairs of representatives in, confirmed links out."""
-
-    def __init__(self, docs: DataFrame, reps: DataFrame, percent: int):
-        self.docs, self.reps, self.percent = docs, reps, percent
-
-    def confirmed(self, pairs: DataFrame) -> tuple[DataFrame, str, int]:
-        """pairs (a, b) whose signatures and then full shingle sets agree, as a written table (u, v)."""
-        spark = pairs.sparkSession
-        signs = self.reps.select("doc_id", "signature", "n_shingles")
-        agree = F.aggregate(
-            F.sequence(F.lit(1), F.lit(BANDS * ROWS)), F.lit(0),
-            lambda acc, i: acc + (F.substring(F.col("sa"), i, F.lit(1)) == F.substring(F.col("sb"), i, F.lit(1))).cast("int"),
-        )
-        likely = (
-            pairs.join(signs.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na")), "a")
-            .join(signs.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb")), "b")
-            .where((100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")) & (agree >= LEAST_AGREEING))
-            .select("a", "b")
-        )
-        likely, pairs_path = materialize(likely, "pairs")
-        ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-        ids = F.broadcast(ids) if 2 * likely.count() <= MAX_BROADCAST_IDS else ids
-        texts, texts_path = materialize(self.docs.join(ids, "doc_id", "left_semi"), "texts")
-        both = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        links, path = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(self.percent), "u long, v long"), "confirmed")
-        discard(spark, pairs_path)
-        discard(spark, texts_path)
-        return links, path, links.count()
+def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many minima agree, for each row of x with each of y."""
+    out = np.zeros((len(x), len(y)), np.uint8)
+    for k in range(x.shape[1]):
+        out += x[:, k][:, None] == y[:, k][None, :]
+    return out
+
+
+def _side(cell) -> dict:
+    s = cell.values
+    n = len(s)
+    sign = np.frombuffer(b"".join(s.field("signature").to_pylist()), np.uint8).reshape(n, -1)
+    return {"id": s.field("doc_id").to_numpy(), "part": s.field("part").to_numpy(), "n": s.field("n_shingles").to_numpy(), "sign": sign,
+            "bands": s.field("bands").flatten().to_numpy().reshape(n, -1), "cell": s}
+
+
+def _apart(band: int, x: dict, y: dict, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that may be linked, are in two components, and meet in this bucket first."""
+    may = _agreement(x["sign"], y["sign"]) >= least_agreeing(percent)
+    may &= x["part"][:, None] != y["part"][None, :]
+    i, j = np.nonzero(may)
+    if same:
+        i, j = i[i < j], j[i < j]
+    small, large = np.minimum(x["n"][i], y["n"][j]), np.maximum(x["n"][i], y["n"][j])
+    like = 100 * small >= percent * large
+    i, j = i[like], j[like]
+    for at in range(0, len(i), 100_000):
+        p, q = i[at:at + 100_000], j[at:at + 100_000]
+        common = x["bands"][p] == y["bands"][q]
+        first = x["bands"][p, common.argmax(axis=1)] == band
+        i[at:at + 100_000], j[at:at + 100_000] = np.where(first, p, -1), np.where(first, q, -1)
+    return i[i >= 0], j[j >= 0]
+
+
+def _tasks(batches):
+    for batch in batches:
+        for band, a, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            x = _side(a)
+            yield band, x, (_side(b) if b.is_valid else x), not b.is_valid
+
+
+def _candidates(percent: int):
+    """Tasks of chunks in; (band, doc_id) of members that may be linked to another component here."""
+    def run(batches):
+        for band, x, y, same in _tasks(batches):
+            i, j = _apart(band, x, y, same, percent)
+            ids = np.unique(np.concatenate([x["id"][i], y["id"][j]]))
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), band)), pa.array(ids)], ["band", "doc_id"])
+
+    return run
+
+
+def _joining(percent: int):
+    """Tasks of chunks with shingle sets in; links that join components, a forest for each task."""
+    def run(batches):
+        for band, x, y, same in _tasks(batches):
+            i, j = _apart(band, x, y, same, percent)
+            if not len(i):
+                continue
+            parent: dict[int, int] = {}
+
+            def root(p):
+                while parent.get(p, p) != p:
+                    p = parent[p]
+                return p
+
+            xs, ys = ([np.frombuffer(v, np.uint64) for v in side["cell"].field("shingles").to_pylist()] for side in (x, y))
+            found = []
+            for p, q in zip(i.tolist(), j.tolist()):
+                a, b = root(int(x["part"][p])), root(int(y["part"][q]))
+                if a != b and _linked(xs[p], ys[q], percent):
+                    parent[max(a, b)] = min(a, b)
+                    found.append((int(x["id"][p]), int(y["id"][q])))
+            if found:
+                u, v = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < percent * len(y):
+        return False
+    common = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _small(df: DataFrame, n: int) -> DataFrame:
+    """df of n narrow rows, to be broadcast if they are few."""
+    return F.broadcast(df) if n <= MAX_BROADCAST_ROWS else df
+
+
+def _chunk_tasks(members: DataFrame, whole: DataFrame, columns: list[str]) -> DataFrame:
+    """band, a, b: each chunk of a bucket by itself (b null) and each two of them. whole: band and its number of chunks."""
+    dealt = members.join(_small(whole, whole.count()), "band").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
+    chunks, _ = materialize(dealt.groupBy("band", "chunks", "chunk").agg(F.collect_list(F.struct(*columns)).alias("a")), "chunks")
+    alone = chunks.select("band", "a", F.lit(None).cast(chunks.schema["a"].dataType).alias("b"))
+    first = chunks.where("chunk + 1 < chunks").select("band", F.explode(F.sequence(F.col("chunk") + 1, F.col("chunks") - 1)).alias("chunk"), "a")
+    return alone.union(first.join(chunks.where("chunks > 1").select("band", "chunk", F.col("a").alias("b")), ["band", "chunk"]).select("band", "a", "b"))
+
+
+def _star_links(docs: DataFrame, reps: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links of documents with the centres of their buckets, as a written table (u, v)."""
+    spark = docs.sparkSession
+    signs = reps.select("doc_id", "signature", "n_shingles")
+    pairs = buckets.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
+    agree = F.aggregate(
+        F.sequence(F.lit(1), F.lit(BANDS * ROWS)), F.lit(0),
+        lambda acc, i: acc + (F.substring(F.col("sa"), i, F.lit(1)) == F.substring(F.col("sb"), i, F.lit(1))).cast("int"),
+    )
+    likely = (
+        pairs.join(signs.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na")), "a")
+        .join(signs.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb")), "b")
+        .where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (agree >= least_agreeing(percent)))
+        .select("a", "b")
+    )
+    likely, pairs_path = materialize(likely, "pairs")
+    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
+    texts, texts_path = materialize(docs.join(_small(ids, 2 * likely.count()), "doc_id", "left_semi"), "texts")
+    both = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    links, _ = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "u long, v long"), "confirmed")
+    discard(spark, pairs_path)
+    discard(spark, texts_path)
+    return links
+
+
+def _rest_links(docs: DataFrame, reps: DataFrame, buckets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Links between components that share a bucket, enough of them to join all that are linked."""
+    part = parts.select(F.col("node").alias("doc_id"), "component")
+    part = _small(part, part.count())
+    held = buckets.join(part, "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    split = held.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n")).where("p <> q")
+    split, split_path = materialize(split.select("band", F.ceil(F.col("n") / CHUNK_ROWS).alias("chunks")), "open")
+    own = ["doc_id", "part", "n_shingles", "signature", "bands"]
+    members = held.join(_small(split.select("band"), split.count()), "band").join(reps, "doc_id").select("band", *own)
+    may = _chunk_tasks(members, split, own).mapInArrow(_candidates(percent), "band long, doc_id long").distinct()
+    may, may_path = materialize(may, "candidates")
+    n = may.count()
+    sets, sets_path = materialize(_signed(docs.join(_small(may.select("doc_id").distinct(), n), "doc_id", "left_semi"), SET_SCHEMA), "sets")
+    full = sets.join(_small(may, n), "doc_id").join(part, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
+    whole, whole_path = materialize(full.groupBy("band").agg(F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES).alias("chunks")), "sizes")
+    links, _ = materialize(_chunk_tasks(full.select("band", *own, "shingles"), whole, [*own, "shingles"]).mapInArrow(_joining(percent), "u long, v long"), "joining")
+    discard(docs.sparkSession, split_path)
+    discard(docs.sparkSession, whole_path)
+    discard(docs.sparkSession, may_path)
+    discard(docs.sparkSession, sets_path)
+    return links
 
 
 def near_duplicates(df: DataFrame, percent: int = 85, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -127,42 +266,30 @@ def near_duplicates(df: DataFrame, percent: int = 85, text_col: str = "text", id
         raise ValueError("the bands are laid out for similarities of 0.8 and more")
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    signed, signed_path = materialize(docs.mapInArrow(_sign, SIGN_SCHEMA), "signed")
+    signed, signed_path = materialize(_signed(docs, SIGN_SCHEMA), "signed")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    grouped = signed.where(~alone)
-    copies = grouped.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    member = grouped.join(copies, ["n_shingles", "h1", "h2"])
-    reps, reps_path = materialize(member.where("doc_id = rep").select("doc_id", "n_shingles", "bands", "signature").dropDuplicates(["doc_id", "signature"]), "reps")
-    rows, _ = materialize(member.select("doc_id", "n_shingles", "rep").union(signed.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))), "members")
+    key = ["n_shingles", "h1", "h2"]
+    copies, copies_path = materialize(signed.where(~alone).groupBy(*key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(*key, "least"), "copies")
+    rep = F.when(~alone, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
+    rows = signed.join(_small(copies, copies.count()), key, "left").withColumn("rep", rep)
+    own = F.coalesce(~alone & (F.col("rep") == F.col("doc_id")), F.lit(False))
+    rows, _ = materialize(rows.select("doc_id", "n_shingles", "rep", own.alias("is_rep"), F.when(own, F.col("bands")).alias("bands"), F.when(own, F.col("signature")).alias("signature")), "members")
+    reps = rows.where("is_rep").select("doc_id", "n_shingles", "bands", "signature")
 
     banded = reps.select("doc_id", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("other")).where("centre <> other").select("band", "centre")
     buckets, buckets_path = materialize(banded.join(shared, "band"), "buckets")
-    links = _Links(docs, reps, percent)
-    star = buckets.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
-    found, found_path, _ = links.confirmed(star)
+    found = _star_links(docs, reps, buckets, percent)
     parts = connected(found)
-
-    # another centre in each bucket that still holds several components, then all that are still apart
-    for turn in (1, 2, 3):
-        held = buckets.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("part"))
-        split = held.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min(F.struct(F.xxhash64(F.lit(turn), "doc_id").alias("h"), F.col("doc_id").alias("id"), F.col("part").alias("of"))).alias("c")).where("p <> q")
-        open_, open_path = materialize(held.join(split.select("band", F.col("c.id").alias("centre"), F.col("c.of").alias("centre_part")), "band"), "open")
-        if turn < 3:
-            pairs = open_.where("part <> centre_part").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))
-        else:
-            x, y = (open_.select("band", F.col("doc_id").alias(c), F.col("part").alias("of_" + c)) for c in "ab")
-            pairs = x.join(y, "band").where("of_a < of_b").select("a", "b")
-        more, more_path, n = links.confirmed(pairs.distinct())
-        discard(spark, open_path)
-        if n:
-            found = found.union(more)
-            parts = connected(found)
+    rest = _rest_links(docs, reps, buckets, parts, percent)
+    if rest.limit(1).count():
+        parts = connected(found.union(rest))
     discard(spark, buckets_path)
     discard(spark, signed_path)
+    discard(spark, copies_path)
     own = F.coalesce("component", "rep")
     return (
-        rows.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        rows.join(_small(parts.select(F.col("node").alias("rep"), "component"), parts.count()), "rep", "left")
         .select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
     )
 
