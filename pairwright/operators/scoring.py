@@ -9,6 +9,7 @@ from pyspark.sql import Column, functions as F
 from ..config import Thresholds
 from ..functions.text import tokens
 
+# The statuses, best first; the texts of summaries, here and in the matchers, are fixed values too.
 STATUSES = ["Strong Match", "Likely Match", "Possible Match", "Weak Match", "No Match"]
 
 
