@@ -6,6 +6,7 @@ mixer. All functions take and return whole-batch arrays with offsets; none loops
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,8 +150,11 @@ def shingle_sets(words: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text", max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds about max_bytes of text; one longer text stays whole."""
+def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text", max_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds about max_bytes of text; one longer text stays whole.
+
+    A pass holds some 100 bytes for each of these. At the end the worker gives unused memory back.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -162,3 +166,13 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text", max_bytes:
             stop = max(begin + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
             yield batch.slice(begin, stop - begin)
             begin = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on for other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library

@@ -208,7 +208,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", returned: list
 
     def run(batches):
         known = shared.value
-        for batch in B.slices(batches, text_col):
+        for batch in B.slices(batches, text_col, 3_000_000):
             lang, score, bits = known.predict(batch.column(columns.index(text_col)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(columns.index(c)) for c in returned] + [pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], [f.name for f in fields])

@@ -152,7 +152,7 @@ _STATE = "block long, island int, population array<array<int>>"
 def _evolution(capacity: int, epoch: int, seed: int):
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 lengths = np.array(row["lengths"], np.int64)
                 given = [_renumbered(np.array(p, np.int32)) for p in row["population"] or []]
                 out = evolve(lengths, given, capacity, [seed, epoch, row["island"], row["block"] & 0x7FFFFFFF])
@@ -164,7 +164,7 @@ def _evolution(capacity: int, epoch: int, seed: int):
 def _placed(capacity: int):
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 lengths = np.array(row["lengths"], np.int64)
                 best = max((np.array(p, np.int32) for p in row["solutions"]), key=lambda s: fitness(s, lengths, capacity))
                 fill = np.bincount(best, weights=lengths)

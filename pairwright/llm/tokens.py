@@ -13,8 +13,10 @@ import pyarrow as pa
 
 from . import bytescan as B
 
-#: Words known at a time; beyond it a worker starts anew (about 100 MB).
-MAX_WORDS = 2_500_000
+#: Words known at a time; beyond it a worker starts anew (about 40 MB).
+MAX_WORDS = 1_200_000
+#: Words tokenized at a time; the tokenizer's objects take about a kilobyte each.
+AT_ONCE = 20_000
 
 
 class WordTokenizer:
@@ -28,8 +30,8 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hashes, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
 
     def _entries(self, words: B.Words, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -40,15 +42,18 @@ class WordTokenizer:
         known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), np.bool_)
         new = np.flatnonzero(~known)
         if len(new):
-            data = words.data.tobytes()
-            texts = [data[s:e].decode("utf-8", "replace") for s, e in zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist())]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-            entries = len(self.begin) + np.arange(len(new))
-            self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(sizes) - sizes])
+            data, sizes, flat = words.data.tobytes(), [], []
+            for i in range(0, len(new), AT_ONCE):
+                at = first[new[i:i + AT_ONCE]]
+                texts = [data[s:e].decode("utf-8", "replace") for s, e in zip(words.starts[at].tolist(), words.ends[at].tolist())]
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, ids), np.int32, len(ids)))
+                flat.append(np.fromiter((t for x in ids for t in x), np.uint32, int(sizes[-1].sum())))
+            sizes = np.concatenate(sizes)
+            entries = (len(self.begin) + np.arange(len(new))).astype(np.int32)
+            self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(sizes, dtype=np.int64) - sizes])
             self.size = np.concatenate([self.size, sizes])
-            self.pool = np.concatenate([self.pool, flat])
+            self.pool = np.concatenate([self.pool, *flat])
             merged = np.concatenate([self.hashes, hashes[new]])
             order = np.argsort(merged, kind="stable")
             self.hashes, self.entry = merged[order], np.concatenate([self.entry, entries])[order]
@@ -63,7 +68,7 @@ class WordTokenizer:
         first[code[::-1]] = np.arange(len(code))[::-1]
         entry = self._entries(words, distinct, first)[code] if len(code) else np.zeros(0, np.int64)
         sizes = self.size[entry]
-        cum = np.concatenate([[0], np.cumsum(sizes)])
+        cum = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         at = np.repeat(self.begin[entry] - cum[:-1], sizes)
         at += np.arange(cum[-1])
         flat = self.pool[at]
