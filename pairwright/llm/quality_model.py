@@ -101,7 +101,7 @@ def _gradients(net: Net, kept, error: np.ndarray) -> Net:
     g_feature = error[:, None] * net.out
     g_top = (g_feature[:, FILTERS:] / n)[text]
     is_best = top == best[text]
-    share = np.add.reduceat(is_best, starts, axis=0)
+    share = np.add.reduceat(is_best, starts, axis=0, dtype=np.int64)
     g_top = (g_top + g_feature[:, :FILTERS][text] * is_best / share[text]) * (top > 0)
     chunk, f = np.nonzero(g_top)
     g = g_top[chunk, f].astype(np.float32)
