@@ -7,17 +7,19 @@ keyword; a detection that lies within another of at least its priority is suppre
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .storage import without
+from .storage import count_words, without
 
-#: Words of an A-Z-lowered text, and the same words in a text before lowering.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: What a text must hold, lower-cased, to be scanned at all.
-GATE = r"licen[sc]|gnu|spdx|copyright|copyleft|public[^0-9a-z]+domain|creative[^0-9a-z]+commons|cc0|cc[^0-9a-z]+by|rights[^0-9a-z]+reserved"
+#: What parts the words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of an A-Z-lowered text, before lowering or after.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A text must hold one of these, lower-cased, to be scanned at all, or GATE_CC.
+GATE = ["license", "licence", "gnu", "spdx", "copyright", "copyleft", "domain", "creative", "cc0", "reserved", "lgpl", "agpl", "wtfpl", "hereby", "redistribution", "unencumbered", "confidential"]
+GATE_CC = "cc[^0-9a-z]+by"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -163,20 +165,19 @@ def _tagged(pattern: str) -> str:
 
 
 def _literal(rules: list[Rule]) -> Column:
-    return F.array(*[
-        F.struct(
-            F.lit(" " + r.keyword).alias("keyword"), F.lit(_tagged(r.pattern)).alias("pattern"), F.lit(r.label).alias("label"),
-            F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.lit(r.base).alias("base"),
-        )
-        for r in rules
-    ])
+    """The rules as one constant, which Spark folds when it plans."""
+    rows = [{"keyword": " " + r.keyword, "pattern": _tagged(r.pattern), "label": r.label, "priority": r.priority, "weight": r.weight, "base": r.base} for r in rules]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<keyword:string,pattern:string,label:string,priority:int,weight:double,base:boolean>>")
 
 
 def _found(rules: Column, plain: str, tagged: str) -> Column:
-    """All detections of the rules whose keyword the text holds, by first word, longest first."""
-    def of(r):
+    """All detections of the rules whose keyword the text holds, by first word, longest first.
+
+    The two forms of the text are bound once: named in a lambda, they would be made anew for every rule.
+    """
+    def of(text, r):
         return F.transform(
-            F.regexp_extract_all(F.col(tagged), r["pattern"], F.lit(0)),
+            F.regexp_extract_all(text, r["pattern"], F.lit(0)),
             lambda m: F.struct(
                 F.regexp_extract(m, "\x01([0-9]+)", 1).cast("int").alias("first"),
                 (-F.substring_index(m, "\x01", -1).cast("int")).alias("neg_last"),
@@ -187,7 +188,11 @@ def _found(rules: Column, plain: str, tagged: str) -> Column:
             ),
         )
 
-    return F.array_sort(F.flatten(F.transform(F.filter(rules, lambda r: F.contains(F.col(plain), r["keyword"])), of)))
+    def all_of(t):
+        held = F.filter(rules, lambda r: F.contains(t["plain"], r["keyword"]))
+        return F.array_sort(F.flatten(F.transform(held, lambda r: of(t["tagged"], r))))
+
+    return F.transform(F.array(F.struct(F.col(plain).alias("plain"), F.col(tagged).alias("tagged"))), all_of)[0]
 
 
 def _kept(found: str) -> Column:
@@ -230,11 +235,13 @@ def scan(df: DataFrame, rules: list[Rule] | None = None, text_col: str = "text")
     an added one are replaced. Each row is worked on by itself: no shuffle, so neither copies nor hot
     sources matter, and a text's work grows with its own length.
     """
-    df = without(df, [*ADDED, "_gate", "_words", "_plain", "_tagged", "_found", "_kept", "_base"])
+    df = without(df, [*ADDED, "_low", "_gate", "_words", "_plain", "_tagged", "_found", "_kept", "_base"])
     own = [F.col(f"`{c}`") for c in df.columns]
     text = F.col(f"`{text_col}`")
-    words = F.when(F.col("_gate"), F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0)))
-    step = df.select(*own, F.coalesce(F.lower(text).rlike(GATE), F.lit(False)).alias("_gate"), F.coalesce(F.regexp_count(text, F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
+    words = F.when(F.col("_gate"), F.filter(F.split(F.translate(text, UPPER, LOWER), BETWEEN), lambda w: w != ""))
+    step = df.select(*own, F.lower(text).alias("_low"), count_words(text, BETWEEN).alias("n_words"))
+    gate = reduce(lambda a, b: a | b, [F.contains(F.col("_low"), F.lit(w)) for w in GATE]) | (F.contains(F.col("_low"), F.lit("cc")) & F.col("_low").rlike(GATE_CC))
+    step = step.select(*own, "n_words", F.coalesce(gate, F.lit(False)).alias("_gate"))
     step = step.withColumn("_words", words)
     step = step.withColumn("_plain", F.concat(F.lit(" "), F.array_join("_words", " "))).withColumn(
         "_tagged", F.array_join(F.transform("_words", lambda w, i: F.concat(w, F.lit("\x01"), i.cast("string"))), " ")

