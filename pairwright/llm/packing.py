@@ -48,7 +48,7 @@ def pieces(df: DataFrame, capacity: int = 4096, end: int = 1, path: str | None =
 
     def run(batches):
         tokenizer, salt = _worker_tokenizer(where), 0
-        for batch in B.slices(batches):
+        for batch in B.slices(batches, max_bytes=2_000_000):
             ids, offsets = tokenizer.encode(batch.column(1), end)
             ids = np.ascontiguousarray(ids, "<u4")
             counts = -(-np.diff(offsets) // capacity)
@@ -186,6 +186,7 @@ def _pack_blocks(items: DataFrame, capacity: int, seed: int) -> tuple[DataFrame,
     blocks, blocks_path = materialize(items.groupBy("block").agg(F.array_sort(F.collect_list(own)).alias("items")), "blocks")
     lengths = blocks.select("block", F.transform("items", lambda x: -x["neg"]).alias("lengths"), F.transform("items", lambda x: x["bin"]).alias("given"))
     state, state_path = None, None
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be merged into few tasks
     for epoch in range(EPOCHS):
         if state is None:
             started = F.when(F.exists("given", lambda b: b.isNull()), F.lit(None)).otherwise(F.array("given"))
@@ -194,13 +195,13 @@ def _pack_blocks(items: DataFrame, capacity: int, seed: int) -> tuple[DataFrame,
             went = state.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.slice("population", 1, MIGRANTS).alias("came"))
             met = state.join(went, ["block", "island"]).select("block", "island", F.concat("came", "population").alias("population"))
             at = met.join(lengths.select("block", "lengths"), "block")
-        at = at.select("block", "island", "lengths", "population").repartition(F.col("block"), F.col("island"))
+        at = at.select("block", "island", "lengths", "population").repartition(spread, "block", "island")
         before = state_path
         state, state_path = materialize(at.mapInArrow(_evolution(capacity, epoch, seed), _STATE), "islands")
         if before:
             discard(spark, before)
     best = state.groupBy("block").agg(F.collect_list(F.col("population")[0]).alias("solutions"))
-    placed = best.join(lengths, "block").select("block", "lengths", "solutions").mapInArrow(_placed(capacity), "block long, nth int, bin int, offset long, open boolean")
+    placed = best.join(lengths, "block").select("block", "lengths", "solutions").repartition(spread, "block").mapInArrow(_placed(capacity), "block long, nth int, bin int, offset long, open boolean")
     rows = blocks.select("block", F.posexplode("items").alias("nth", "item"))
     packed = rows.join(placed, ["block", "nth"]).select(
         "item.doc_id", "item.piece", "item.start", (-F.col("item.neg")).alias("length"), "item.ids_crc32", "item.salt", "block", placed["bin"], "offset", "open")

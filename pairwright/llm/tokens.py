@@ -13,8 +13,8 @@ import pyarrow as pa
 
 from . import bytescan as B
 
-#: Words known at a time; beyond it a worker starts anew (about 40 MB).
-MAX_WORDS = 1_200_000
+#: Words known at a time; beyond it a worker starts anew (about 50 MB).
+MAX_WORDS = 1_600_000
 #: Words tokenized at a time; the tokenizer's objects take about a kilobyte each.
 AT_ONCE = 20_000
 
@@ -54,9 +54,9 @@ class WordTokenizer:
             self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(sizes, dtype=np.int64) - sizes])
             self.size = np.concatenate([self.size, sizes])
             self.pool = np.concatenate([self.pool, *flat])
-            merged = np.concatenate([self.hashes, hashes[new]])
-            order = np.argsort(merged, kind="stable")
-            self.hashes, self.entry = merged[order], np.concatenate([self.entry, entries])[order]
+            order = np.argsort(hashes[new])
+            where = np.searchsorted(self.hashes, hashes[new][order])
+            self.hashes, self.entry = np.insert(self.hashes, where, hashes[new][order]), np.insert(self.entry, where, entries[order])
             at = np.searchsorted(self.hashes, hashes)
         return self.entry[at]
 
