@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .storage import materialize, without
+from .storage import count_words, materialize, without
 
 #: Documents in a slice of a leaf's order, about; a slice's running sum is one task's work.
 SLICE_ROWS = 4096
@@ -49,7 +49,7 @@ def default_domain(source: str = "source") -> Column:
 
 
 def word_count(text: str = "text") -> Column:
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return count_words(F.col(text), r"[\x20\x09-\x0D]+")
 
 
 def _shares(nodes: DataFrame, parents: list[str], budget: Column) -> DataFrame:
