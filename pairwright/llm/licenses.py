@@ -1,15 +1,14 @@
 """License scan: ordered signature rules over the words of a text, in DataFrame functions only.
 
 A text's words are tagged with their places ("mit\u0001 17"-like tokens), so that a match of a
-rule carries its first and last word and no prefix sums are needed. Rules are gated by a
-keyword; a detection that lies within another of at least its priority is suppressed.
+rule carries its first and last word and no prefix sums are needed. Rules are gated by
+keywords, a text by the keywords of all rules; a detection that lies within another of at least its priority is suppressed.
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,16 +16,13 @@ from .storage import count_words, without
 
 #: What parts the words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of an A-Z-lowered text, before lowering or after.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: A text must hold one of these, lower-cased, to be scanned at all, or GATE_CC.
-GATE = ["license", "licence", "gnu", "spdx", "copyright", "copyleft", "domain", "creative", "cc0", "reserved", "lgpl", "agpl", "wtfpl", "hereby", "redistribution", "unencumbered", "confidential"]
-GATE_CC = "cc[^0-9a-z]+by"
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern: a regex over words parted by one space; keyword: words that the text must hold."""
+    """pattern: a regex over words parted by one space; keyword: words, the last of them perhaps cut, that every match
+    holds; where alternatives of the pattern share none, one for each, parted by |."""
 
     label: str
     keyword: str
@@ -164,14 +160,48 @@ def _tagged(pattern: str) -> str:
     return "(?<![^ ])" + "".join(out) + "\x01[0-9]+"
 
 
+def _keywords(rules: list[Rule]) -> list[str]:
+    """The rules' keywords, each once."""
+    return sorted({k for r in rules for k in r.keyword.split("|")})
+
+
+def gate_words(rules: list[Rule]) -> dict[str, str]:
+    """For each keyword of the rules a word of it that stands for it, as short a list of words as comes easily.
+
+    A text that holds none of the words, wherever they begin, has no match of any rule.
+    """
+    words: dict[str, str] = {}
+    for key in sorted(_keywords(rules), key=lambda k: (k.count(" "), len(k), k)):
+        known = [w for w in words.values() if w in key]
+        words[key] = known[0] if known else max(key.split(), key=len, default="")
+    return words
+
+
+def _gate(low: Column, rules: list[Rule]) -> Column:
+    """Whether a lower-cased text may hold a keyword of the rules; short words must have their keyword's others beside them."""
+    keys: dict[str, list[str]] = {}
+    for key, word in gate_words(rules).items():
+        keys.setdefault(word, []).append(key)
+    out = F.lit(False)
+    for word, of in keys.items():
+        held = F.contains(low, F.lit(word))
+        if len(word) < 4 and all(" " in k for k in of):
+            held = held & low.rlike("|".join(BETWEEN.join(k.split(" ")) for k in of))
+        out = out | held
+    return out
+
+
 def _literal(rules: list[Rule]) -> Column:
-    """The rules as one constant, which Spark folds when it plans."""
-    rows = [{"keyword": " " + r.keyword, "pattern": _tagged(r.pattern), "label": r.label, "priority": r.priority, "weight": r.weight, "base": r.base} for r in rules]
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<keyword:string,pattern:string,label:string,priority:int,weight:double,base:boolean>>")
+    """The rules, by keywords, as one constant, which Spark folds when it plans."""
+    groups: dict[str, list[dict]] = {}
+    for r in rules:
+        groups.setdefault(r.keyword, []).append({"pattern": _tagged(r.pattern), "label": r.label, "priority": r.priority, "weight": r.weight, "base": r.base})
+    rows = [{"keywords": [" " + k for k in keyword.split("|")], "rules": of} for keyword, of in groups.items()]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<keywords:array<string>,rules:array<struct<pattern:string,label:string,priority:int,weight:double,base:boolean>>>>")
 
 
-def _found(rules: Column, plain: str, tagged: str) -> Column:
-    """All detections of the rules whose keyword the text holds, by first word, longest first.
+def _found(groups: Column, plain: str, tagged: str) -> Column:
+    """All detections of the rules of which the text holds a keyword, by first word, longest first.
 
     The two forms of the text are bound once: named in a lambda, they would be made anew for every rule.
     """
@@ -189,8 +219,8 @@ def _found(rules: Column, plain: str, tagged: str) -> Column:
         )
 
     def all_of(t):
-        held = F.filter(rules, lambda r: F.contains(t["plain"], r["keyword"]))
-        return F.array_sort(F.flatten(F.transform(held, lambda r: of(t["tagged"], r))))
+        held = F.filter(groups, lambda g: F.exists(g["keywords"], lambda k: F.contains(t["plain"], k)))
+        return F.array_sort(F.flatten(F.transform(F.flatten(F.transform(held, lambda g: g["rules"])), lambda r: of(t["tagged"], r))))
 
     return F.transform(F.array(F.struct(F.col(plain).alias("plain"), F.col(tagged).alias("tagged"))), all_of)[0]
 
@@ -235,18 +265,18 @@ def scan(df: DataFrame, rules: list[Rule] | None = None, text_col: str = "text")
     an added one are replaced. Each row is worked on by itself: no shuffle, so neither copies nor hot
     sources matter, and a text's work grows with its own length.
     """
+    rules = default_rules() if rules is None else rules
     df = without(df, [*ADDED, "_low", "_gate", "_words", "_plain", "_tagged", "_found", "_kept", "_base"])
     own = [F.col(f"`{c}`") for c in df.columns]
     text = F.col(f"`{text_col}`")
     words = F.when(F.col("_gate"), F.filter(F.split(F.translate(text, UPPER, LOWER), BETWEEN), lambda w: w != ""))
     step = df.select(*own, F.lower(text).alias("_low"), count_words(text, BETWEEN).alias("n_words"))
-    gate = reduce(lambda a, b: a | b, [F.contains(F.col("_low"), F.lit(w)) for w in GATE]) | (F.contains(F.col("_low"), F.lit("cc")) & F.col("_low").rlike(GATE_CC))
-    step = step.select(*own, "n_words", F.coalesce(gate, F.lit(False)).alias("_gate"))
+    step = step.select(*own, "n_words", F.coalesce(_gate(F.col("_low"), rules), F.lit(False)).alias("_gate"))
     step = step.withColumn("_words", words)
     step = step.withColumn("_plain", F.concat(F.lit(" "), F.array_join("_words", " "))).withColumn(
         "_tagged", F.array_join(F.transform("_words", lambda w, i: F.concat(w, F.lit("\x01"), i.cast("string"))), " ")
     )
-    step = step.withColumn("_found", F.when(F.col("_gate"), _found(_literal(rules or default_rules()), "_plain", "_tagged")).otherwise(F.array()))
+    step = step.withColumn("_found", F.when(F.col("_gate"), _found(_literal(rules), "_plain", "_tagged")).otherwise(F.array()))
     step = step.withColumn("_kept", _kept("_found")).withColumn("_base", F.filter("_found", lambda d: d["base"]))
     base_labels = F.array_sort(F.array_distinct(F.transform("_base", lambda d: d["label"])))
     return step.select(

@@ -202,3 +202,18 @@ def test_there_are_hundreds_of_rules():
     assert len(rules) > 300 and len({r.label for r in rules}) > 40
     for r in rules:
         re.compile(r.pattern)
+
+
+def test_every_rule_passes_the_gate(spark):
+    """Texts that hold no other word of a license than their rule's own."""
+    expected = {
+        "Released under GPLv2.": "gpl-2.0", "distributed under the BSD 3-Clause": "bsd-3-clause", "MPL 2.0": "mpl-2.0", "MIT No Attribution": "mit-0",
+        "This program is free software; you can redistribute it and/or modify it": "gpl", "This library is free software; you can redistribute it and/or modify it": "lgpl",
+        "This software is provided as is, without any express or implied warranty": "zlib", "Permission to use, copy, modify and distribute this software": "isc", "see CC-BY 4.0": "cc-by-4.0"}
+    rows = list(expected.items()) + [("success, by and by", ""), ("an omitted line", "")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.digest(df).collect()}
+    for i, (text, label) in enumerate(rows):
+        assert label in got[i].labels.split(",") and (got[i].score > 0) == (label != ""), text
+    own = [licenses.Rule("odd", "zebra crossing", "zebra crossing", 1, 0.5), licenses.Rule("any", "", "tapir", 1, 0.5)]
+    assert [r.license_labels for r in licenses.scan(spark.createDataFrame([("a Zebra, crossing",), ("tapir",), ("none",)], "text string"), own).collect()] == [["odd"], ["any"], []]
