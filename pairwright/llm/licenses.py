@@ -39,7 +39,7 @@ FAMILIES = [
     ("agpl", "agpl", r"agpl(?:v3| v3| 3 0| 3)?"),
     ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public license(?: (?:version|v))? (?:v2|2) 1"),
     ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public license(?: (?:version|v))? (?:v3|3)(?: 0)?"),
-    ("lgpl", "lesser", r"(?:gnu )?(?:lesser|library) general public license"),
+    ("lgpl", "lesser|library general", r"(?:gnu )?(?:lesser|library) general public license"),
     ("lgpl", "lgpl", r"lgpl(?:v3|v2| v3| v2| 2 1| 3 0| 3)?"),
     ("gpl-2.0", "general public", r"(?:gnu )?general public license(?: (?:version|v))? (?:v2|2)(?: 0)?"),
     ("gpl-3.0", "general public", r"(?:gnu )?general public license(?: (?:version|v))? (?:v3|3)(?: 0)?"),
@@ -50,15 +50,15 @@ FAMILIES = [
     ("apache-2.0", "apache", r"apache(?: software)? license(?: (?:version|v))? (?:v2|2)(?: 0)?"),
     ("apache-1.1", "apache", r"apache(?: software)? license(?: version)? 1 [01]"),
     ("apache", "apache", r"apache(?: software)? license"),
-    ("mit", "mit", r"(?:mit|expat)(?: x11)? licen[sc]e"),
-    ("mit-0", "mit", r"mit no attribution"),
-    ("x11", "x11", r"x11 licen[sc]e"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[sc]e)?"),
+    ("mit", "mit licen|mit x11 licen|expat licen|expat x11 licen", r"(?:mit|expat)(?: x11)? licen[sc]e"),
+    ("mit-0", "mit no attribution", r"mit no attribution"),
+    ("x11", "x11 licen", r"x11 licen[sc]e"),
+    ("bsd-2-clause", "bsd|freebsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[sc]e)?"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: licen[sc]e)?"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[sc]e)?"),
-    ("bsd-0-clause", "bsd", r"(?:0bsd|bsd zero clause|zero clause bsd)(?: licen[sc]e)?"),
+    ("bsd-0-clause", "bsd|0bsd", r"(?:0bsd|bsd zero clause|zero clause bsd)(?: licen[sc]e)?"),
     ("bsd", "bsd", r"bsd(?: style| type)? licen[sc]e"),
-    ("isc", "isc", r"isc licen[sc]e"),
+    ("isc", "isc licen", r"isc licen[sc]e"),
     ("mpl-2.0", "mozilla", r"mozilla public license(?: (?:version|v))? (?:v2|2)(?: 0)?"),
     ("mpl-1.1", "mozilla", r"mozilla public license(?: (?:version|v))? 1 1"),
     ("mpl", "mozilla", r"mozilla public license"),
@@ -72,13 +72,13 @@ FAMILIES = [
     ("eupl", "union public", r"european union public licen[sc]e"),
     ("artistic-2.0", "artistic", r"artistic license(?: (?:version|v))? 2(?: 0)?"),
     ("artistic", "artistic", r"artistic license"),
-    ("zlib", "zlib", r"zlib(?: libpng)? licen[sc]e"),
+    ("zlib", "zlib licen|zlib libpng licen", r"zlib(?: libpng)? licen[sc]e"),
     ("bsl-1.0", "boost", r"boost software license"),
     ("unlicense", "unlicense", r"(?:the )?unlicense"),
     ("wtfpl", "wtfpl", r"wtfpl"),
     ("postgresql", "postgresql", r"postgresql licen[sc]e"),
-    ("python-2.0", "python", r"python software foundation license"),
-    ("php", "php", r"php license"),
+    ("python-2.0", "python software", r"python software foundation license"),
+    ("php", "php license", r"php license"),
     ("ofl-1.1", "open font", r"(?:sil )?open font license"),
     ("odbl", "open database", r"open database license"),
     ("odc-by", "open data commons", r"open data commons attribution license"),

@@ -1,8 +1,10 @@
 """Operators that look at one text at a time, against plain loops."""
 
 import re
+import re._parser
 import zlib
 from collections import Counter
+from itertools import product
 
 import pyarrow as pa
 import pytest
@@ -217,3 +219,35 @@ def test_every_rule_passes_the_gate(spark):
         assert label in got[i].labels.split(",") and (got[i].score > 0) == (label != ""), text
     own = [licenses.Rule("odd", "zebra crossing", "zebra crossing", 1, 0.5), licenses.Rule("any", "", "tapir", 1, 0.5)]
     assert [r.license_labels for r in licenses.scan(spark.createDataFrame([("a Zebra, crossing",), ("tapir",), ("none",)], "text string"), own).collect()] == [["odd"], ["any"], []]
+
+
+def alternatives(tree) -> list[str]:
+    """What a parsed pattern matches: each branch, optional parts without and with, of classes and spans one example."""
+    out = [""]
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            these = [chr(arg)]
+        elif name == "IN":
+            these = [chr(x[0] if str(kind) == "RANGE" else x) for kind, x in arg]
+        elif name == "ANY":
+            these = ["x"]
+        elif name == "SUBPATTERN":
+            these = alternatives(arg[-1])
+        elif name == "BRANCH":
+            these = [x for branch in arg[1] for x in alternatives(branch)]
+        else:
+            assert name in ("MAX_REPEAT", "MIN_REPEAT"), name
+            these = alternatives(arg[2]) + ([""] if arg[0] == 0 else [])
+        out = [a + b for a, b in product(out, these)]
+    return out
+
+
+def test_every_match_passes_its_prefilter(spark):
+    for r in licenses.default_rules():
+        matches = alternatives(re._parser.parse(r.pattern))
+        for text in {min(matches, key=len), *matches}:
+            assert re.fullmatch(r.pattern, text) and any(" " + k in " " + text for k in r.keyword.split("|")), (r.pattern, text)
+    expected = {"GNU Library General Public License": "lgpl", "Expat License": "mit", "0BSD": "bsd-0-clause", "FreeBSD license": "bsd-2-clause", "zlib/libpng license": "zlib"}
+    df = spark.createDataFrame(list(expected.items()), "text string, label string")
+    assert all(r.label in r.license_labels for r in licenses.scan(df).collect())
