@@ -22,6 +22,9 @@ SAMPLE_BYTES = 24_000
 SAMPLE_ROWS = 200
 #: A segment of a text is parsed by itself; a phrase ends where its segment does.
 SEGMENT = 1024
+#: Languages sampled in one pass over the rows, and bytes of transition tables held at a time.
+LANGUAGES_A_PASS = 64
+TABLE_BYTES = 128 << 20
 
 
 def held_out(id_col: str = "doc_id"):
@@ -29,16 +32,17 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.encode(F.col(f"`{id_col}`").cast("string"), "UTF-8")) % 5 == 0, F.lit(True))
 
 
-def sample_rows(df: DataFrame, group_col: str, n: int, id_col: str = "doc_id", max_groups: int = 64, seed: int = 7) -> DataFrame:
-    """About 2 n rows of each of the most frequent groups, chosen by a seeded hash of the id.
+def sample_rows(df: DataFrame, group_col: str, n: int, id_col: str = "doc_id", max_groups: int = 64, seed: int = 7, counts: list | None = None) -> DataFrame:
+    """About 2 n rows of each of the most frequent groups, or of those of counts, chosen by a seeded hash of the id.
 
     A group's rows pass with probability 2 n / its count, so nothing is sorted or gathered by group.
     """
-    counts = df.groupBy(group_col).count().orderBy(F.desc("count"), group_col).limit(max_groups).collect()
+    if counts is None:
+        counts = df.groupBy(group_col).count().orderBy(F.desc("count"), group_col).limit(max_groups).collect()
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col(group_col) == F.lit(r[group_col]), F.lit(min(1.0, 2.0 * n / r["count"]))).otherwise(share)
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) < share * (1 << 30)).limit(4 * n * max_groups)
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) < share * (1 << 30)).limit(4 * n * max(max_groups, len(counts)))
 
 
 #: Bytes as they are parsed: A-Z in lower case, all other ASCII but letters a space.
@@ -90,34 +94,60 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        self.next = nxt
+        self.states = len(nxt)
+        self.source = np.repeat(np.arange(len(nxt), dtype=np.int32), [len(to) for to in nxt])
+        self.symbol = np.array([c for to in nxt for c in to], np.uint8)
+        self.target = np.array([s for to in nxt for s in to.values()], np.int32)
 
     def table(self, width: int) -> np.ndarray:
         """next state * width * 2, plus 1 where a phrase begins, at state * width + symbol."""
+        n = int(np.searchsorted(self.source, 1))  # of the root
         root = np.ones(width, np.int32)
-        for c, s in self.next[0].items():
-            root[c] = s * width * 2 + 1
-        out = np.tile(root, (len(self.next), 1))
-        for s, to in enumerate(self.next[1:], 1):
-            if to:
-                out[s, list(to)] = np.array(list(to.values()), np.int32) * (width * 2)
+        root[self.symbol[:n]] = self.target[:n] * (width * 2) + 1
+        out = np.tile(root, (self.states, 1))
+        out[self.source[n:], self.symbol[n:]] = self.target[n:] * (width * 2)
         return out.ravel()
 
 
 class Model:
-    """languages in order of name, symbol number of each byte, one table for each language."""
+    """languages in order of name, symbol number of each byte, one automaton for each language.
 
-    def __init__(self, samples: dict[str, bytes]):
+    The automata are kept and sent as lists of transitions, less than 1 MB a language. Their tables are made for blocks of
+    languages of at most table_bytes; if there is but one block its tables are kept.
+    """
+
+    def __init__(self, samples: dict[str, bytes], table_bytes: int = TABLE_BYTES):
         self.languages = sorted(samples)
         raw = {k: plain(np.frombuffer(v, np.uint8), np.array([0, len(v)]))[0] for k, v in samples.items()}
         seen = np.unique(np.concatenate(list(raw.values()))) if raw else np.zeros(0, np.uint8)
         self.symbol = np.full(256, len(seen), np.int32)  # the last symbol is in no sample
         self.symbol[seen] = np.arange(len(seen))
         self.width = len(seen) + 1
-        self.tables = [Automaton(self.symbol[raw[k]]).table(self.width) for k in self.languages]
+        self.automata = [Automaton(self.symbol[raw[k]]) for k in self.languages]
+        self.blocks, used = [], 0
+        for k, a in enumerate(self.automata):
+            size = a.states * self.width * 4
+            if not self.blocks or used + size > table_bytes:
+                self.blocks.append([])
+                used = 0
+            self.blocks[-1].append(k)
+            used += size
+        self._kept = None
         #: Bits that point out a phrase in a sample of this length.
         self.bits = np.array([math.log2(max(2, len(raw[k]))) for k in self.languages])
 
+    def __getstate__(self):
+        return self.__dict__ | {"_kept": None}
+
+    def tables(self, block: list[int]) -> list[np.ndarray]:
+        """The tables of a block's languages."""
+        if self._kept is not None:
+            return self._kept
+        out = [self.automata[k].table(self.width) for k in block]
+        if len(self.blocks) == 1:
+            self._kept = out
+        return out
+
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases of each text, one column a language."""
         size = np.diff(offsets)
@@ -130,18 +160,20 @@ class Model:
         starts, lengths = starts[order], lengths[order]
         symbols = self.symbol[data]
         active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(SEGMENT), side="right")
-        state = [np.zeros(len(starts), np.int32) for _ in self.tables]
-        begun = [np.zeros(len(starts), np.int32) for _ in self.tables]
-        for t in range(int(lengths[0]) if len(lengths) else 0):
-            n = active[t]
-            here = symbols[starts[:n] + t]
-            for k, table in enumerate(self.tables):
-                got = table[state[k][:n] + here]
-                begun[k][:n] += got & 1
-                np.right_shift(got, 1, out=state[k][:n])
-        out = np.zeros((len(size), len(self.tables)), np.int64)
-        for k in range(len(self.tables)):
-            out[:, k] = np.bincount(doc[order], weights=begun[k], minlength=len(size))
+        out = np.zeros((len(size), len(self.languages)), np.int64)
+        for block in self.blocks:
+            tables = self.tables(block)
+            state = [np.zeros(len(starts), np.int32) for _ in tables]
+            begun = [np.zeros(len(starts), np.int32) for _ in tables]
+            for t in range(int(lengths[0]) if len(lengths) else 0):
+                n = active[t]
+                here = symbols[starts[:n] + t]
+                for k, table in enumerate(tables):
+                    got = table[state[k][:n] + here]
+                    begun[k][:n] += got & 1
+                    np.right_shift(got, 1, out=state[k][:n])
+            for k, counted in zip(block, begun):
+                out[:, k] = np.bincount(doc[order], weights=counted, minlength=len(size))
         return out
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -174,8 +206,9 @@ class Model:
 
 
 def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """A model of the languages of the rows that are not held out, from about SAMPLE_ROWS rows each.
+    """A model of all languages of the rows that are not held out, from about 2 SAMPLE_ROWS rows each.
 
+    Rows are read once for each LANGUAGES_A_PASS languages, so that what the driver takes in at a time is bounded.
     Rows without text or language teach nothing. Of a sampled text at most 2,000 characters from its middle are
     learned, so that one long text does not fill a sample. Without labelled rows the model knows no language.
     """
@@ -183,12 +216,15 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     rows = rows.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     cut = 2000
     middle = F.greatest(F.lit(1), ((F.length("text") - cut) / 2).cast("int"))
-    got = sample_rows(rows, "lang", SAMPLE_ROWS).select("lang", F.xxhash64(F.lit(11), "doc_id").alias("h"), F.expr("text").substr(middle, F.lit(cut)).alias("text")).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     samples: dict[str, bytes] = {}
-    for r in sorted(got, key=lambda r: (r["h"], r["text"])):
-        have = samples.get(r["lang"], b"")
-        if len(have) < sample_bytes:
-            samples[r["lang"]] = (have + b"\n" + r["text"].encode())[:sample_bytes]
+    for at in range(0, len(counts), LANGUAGES_A_PASS):
+        sampled = sample_rows(rows, "lang", SAMPLE_ROWS, counts=counts[at:at + LANGUAGES_A_PASS])
+        got = sampled.select("lang", F.xxhash64(F.lit(11), "doc_id").alias("h"), F.expr("text").substr(middle, F.lit(cut)).alias("text")).collect()
+        for r in sorted(got, key=lambda r: (r["h"], r["text"])):
+            have = samples.get(r["lang"], b"")
+            if len(have) < sample_bytes:
+                samples[r["lang"]] = (have + b"\n" + r["text"].encode())[:sample_bytes]
     return Model(samples)
 
 
@@ -204,7 +240,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", returned: list
     returned = [c for c in (returned or df.columns) if c in df.columns]
     columns = list(dict.fromkeys([*returned, text_col]))
     fields = [df.schema[c] for c in returned] + [T.StructField(*f) for f in FIELDS]
-    shared = df.sparkSession.sparkContext.broadcast(model)  # a few MB a language, bounded by SAMPLE_BYTES
+    shared = df.sparkSession.sparkContext.broadcast(model)  # less than 1 MB a language, bounded by SAMPLE_BYTES
 
     def run(batches):
         known = shared.value

@@ -112,6 +112,23 @@ def test_languages_held_out(spark, docs):
     assert {r.lang_pred for r in got} <= {"en", "de", "fr", "und"}
 
 
+def test_more_languages_than_one_pass_and_one_block_take(spark):
+    import random
+
+    r = random.Random(8)
+    words = {f"l{k:02}": ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)] for k in range(70)}
+    rows = [(k * 100 + i, " ".join(r.choice(words[lang]) for _ in range(40)), lang) for k, lang in enumerate(words) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.learn(df).languages == sorted(words)
+    truth = {i: lang for i, _, lang in rows}
+    got = langid.digest(df).collect()
+    assert len(got) == len(rows) and all(x.lang_pred == truth[x.doc_id] for x in got)
+    samples = {k: " ".join(w).encode() for k, w in words.items()}
+    data, offsets = langid.plain(*langid.B.buffer_of(pa.array([x[1] for x in rows[:20]])))
+    one, many = langid.Model(samples), langid.Model(samples, table_bytes=50_000)
+    assert len(one.blocks) == 1 < len(many.blocks) and (one.phrases(data, offsets) == many.phrases(data, offsets)).all()
+
+
 def test_language_without_labels_and_rows(spark, docs):
     nothing = docs.where("text is null")
     assert {r.lang_pred for r in langid.identify(docs, langid.learn(nothing)).collect()} == {"und"}
