@@ -12,8 +12,6 @@ from ..operators import detect
 from . import xlsx
 
 EXTENSIONS = (".csv", ".xlsx", ".xls", ".json")
-#: Bytes of a CSV file that are looked at to tell its encoding.
-PROBE_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -43,16 +41,13 @@ def _head(spark: SparkSession, path: str, n: int) -> bytes:
 
 
 def csv_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 if the file's beginning is, else ISO-8859-1, in which every byte is a character."""
-    head = _head(spark, path, PROBE_BYTES)
-    for cut in range(4):  # a character may be cut in two at the end
-        try:
-            head[:len(head) - cut].decode("utf-8")
-            return "UTF-8"
-        except UnicodeDecodeError:
-            if len(head) < PROBE_BYTES:
-                break
-    return "ISO-8859-1"
+    """UTF-8 if all of the file, or of a folder's files, is, else ISO-8859-1, in which every byte is a character.
+
+    Lines are taken as they stand, in all parts by as many tasks as Spark reads them with; a line break is never within
+    a UTF-8 character.
+    """
+    lines = spark.read.text(path).select("value")
+    return "UTF-8" if lines.where(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
 
 
 def _clean(df: DataFrame) -> DataFrame:

@@ -15,6 +15,18 @@ def test_csv_encodings_names_and_nulls(spark, tmp_path):
     assert readers.read_table(spark, str(tmp_path / "l.csv")).first()["name"] == "Zoë"
 
 
+def test_csv_encoding_is_that_of_the_whole_table(spark, tmp_path):
+    body = b"id,name\n" + b"1,plain\n" * (200_000)
+    (tmp_path / "late.csv").write_bytes(body + b"2,Zo\xeb\n")
+    (tmp_path / "late_utf8.csv").write_bytes(body + "2,Zoë\n".encode())
+    (tmp_path / "parts.csv").mkdir()
+    (tmp_path / "parts.csv" / "part-0.csv").write_bytes(b"id,name\n1,plain\n")
+    (tmp_path / "parts.csv" / "part-1.csv").write_bytes(b"id,name\n2,Zo\xeb\n")
+    for name in ("late", "late_utf8", "parts"):
+        got = readers.read_table(spark, str(tmp_path / f"{name}.csv")).where("id = '2'").collect()
+        assert [r["name"] for r in got] == ["Zoë"], name
+
+
 def test_json_forms(spark, tmp_path):
     for name, text in (("records", '[{"a": "x", "b": 1}, {"a": null, "b": 2}]'), ("lines", '{"a": "x", "b": 1}\n{"a": null, "b": 2}\n'), ("columns", '{"a": {"0": "x", "1": null}, "b": {"0": 1, "1": 2}}')):
         (tmp_path / f"{name}.json").write_text(text)
