@@ -294,9 +294,24 @@ def near_duplicates(df: DataFrame, percent: int = 85, text_col: str = "text", id
 
 
 def deduplicate(df: DataFrame, percent: int = 85, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of df that near_duplicates() keeps: one document of each group."""
-    gone = near_duplicates(df, percent, text_col, id_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    """One document of each group of near_duplicates(), with all columns of df.
+
+    Each row goes or stays by its own text: where an id repeats with different texts, each of them counts as a document
+    (by a 64-bit hash of id and text in place of the id). Of rows equal in id and text one stays, any of them. Rows
+    without id stay.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    own = F.col(f"`{id_col}`").cast("long")
+    repeated, path = materialize(df.where(own.isNotNull()).groupBy(own.alias("_dedup_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_dedup_id"), "repeated")
+    rows, n = df.select(*columns, own.alias("_dedup_id")), repeated.count()
+    if n:
+        again = rows.join(_small(repeated, n), "_dedup_id", "left_semi").dropDuplicates(["_dedup_id", text_col])
+        again, _ = materialize(again.select(*columns, F.xxhash64("_dedup_id", F.col(f"`{text_col}`")).alias("_dedup_id")), "again")
+        rows = rows.join(_small(repeated, n), "_dedup_id", "left_anti").select(*columns, "_dedup_id").unionByName(again)
+    else:
+        discard(df.sparkSession, path)
+    gone = near_duplicates(rows, percent, text_col, "_dedup_id").where(~F.col("kept")).select(F.col("doc_id").alias("_dedup_id")).distinct()
+    return rows.join(gone, "_dedup_id", "left_anti").select(*columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -112,3 +112,14 @@ def test_vectors_against_all_pairs(spark, monkeypatch):
 def test_hadamard_is_orthogonal():
     h = vectors.hadamard(np.eye(8))
     assert np.allclose(h @ h.T, np.eye(8))
+
+
+def test_deduplicate_goes_by_row(spark):
+    words = [" ".join(f"{name}{k}" for k in range(60)) for name in "abcd"]
+    rows = [(1, words[0], "x"), (5, words[0], "y"), (5, words[1], "z"), (9, words[2], "s"), (9, words[2], "t"), (None, words[3], "u"), (None, words[3], "v"), (7, None, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, note string").repartition(3)
+    got = minhash.deduplicate(df, percent=80)
+    assert got.columns == df.columns
+    kept = [tuple(r)[:2] for r in got.collect()]
+    groups = [[(1, words[0]), (5, words[0])], [(5, words[1])], [(9, words[2])], [(7, None)]]
+    assert all(sum(kept.count(x) for x in group) == 1 for group in groups) and kept.count((None, words[3])) == 2 and len(kept) == 6
