@@ -1,10 +1,11 @@
 """Best-fit packing of token sequences by a grouping genetic algorithm on islands.
 
-Pieces below the capacity are dealt over blocks of about BLOCK pieces. Each block evolves on several
-islands: a solution is a grouping of pieces into bins; crossover takes whole well-filled bins of one
-parent, drops the other's bins that share pieces with them, and best-fits the displaced
-pieces. After each epoch an island's best solutions migrate to the next. A second
-round does the same with what the blocks left in badly filled bins.
+Pieces below the capacity are dealt over blocks of about BLOCK pieces. Each block evolves on several islands: a
+solution is a grouping of pieces into bins. Crossover injects whole well-filled bins of one parent into the other, drops
+the bins that hold the same pieces, and best-fits the displaced pieces: first one by one, then set by set, where an
+open bin and a window of displaced pieces are filled anew by the set that leaves the least room. Fewer bins are fitter,
+then fuller ones, so the room gathers in few bins until one bin less will do. After each epoch an island's best
+solutions migrate to the next. A second round does the same with all pieces that the blocks left in bins that are not full.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytescan as B
-from .storage import discard, materialize
+from .storage import discard, materialize, owner
 from .tokens import WordTokenizer
 
 BLOCK = 8192
-ISLANDS, EPOCHS, GENERATIONS, POPULATION, MIGRANTS = 3, 2, 3, 4, 1
-#: A bin below this fill is packed again in the second round.
-WELL_FILLED = 0.99
+ISLANDS, EPOCHS, GENERATIONS, POPULATION, CHILDREN, MIGRANTS = 3, 2, 12, 4, 3, 1
+#: One in so many well-filled bins of a parent is injected; pieces that are tried together when an open bin is filled anew.
+INJECTED, WINDOW = 32, 24
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 
 
@@ -100,16 +101,85 @@ def fitness(solution: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[i
     return -len(fill), float(np.mean(fill**2)) if len(fill) else 0.0
 
 
+def settled(solution: np.ndarray, lengths: np.ndarray, capacity: int) -> bool:
+    """Whether no grouping is better: as few bins as the sum needs, and all but one of them full."""
+    fill = np.bincount(solution, weights=lengths)
+    return np.count_nonzero(fill) <= -(-int(lengths.sum()) // capacity) and np.count_nonzero((fill > 0) & (fill < capacity)) <= 1
+
+
 def _renumbered(solution: np.ndarray) -> np.ndarray:
     return np.unique(solution, return_inverse=True)[1].astype(np.int32)
 
 
+def best_set(sizes: list[int], room: int) -> list[int]:
+    """Numbers of the sizes with the largest sum within room; with sizes in falling order large ones are preferred.
+
+    Bit k of `reach` tells whether some of the sizes so far sum to k.
+    """
+    reach, before, mask = 1, [], (1 << (room + 1)) - 1
+    for n in sizes:
+        before.append(reach)
+        reach |= (reach << n) & mask
+        if reach >> room:
+            break
+    total, out = reach.bit_length() - 1, []
+    for i in range(len(before) - 1, -1, -1):
+        if not before[i] >> total & 1:
+            out.append(i)
+            total -= sizes[i]
+    return out
+
+
+def refit(solution: np.ndarray, lengths: np.ndarray, capacity: int, r: np.random.Generator) -> np.ndarray:
+    """The solution with its open bins filled anew, in place.
+
+    The pieces of the emptiest bins are displaced. Every other open bin, fullest first, takes the best set of its own and
+    a window of the displaced pieces if that is fuller than it was; what it gives up is displaced in turn. The
+    displaced pieces are then put into bins one bin at a time, the largest piece first.
+    """
+    size, fill = lengths.tolist(), np.bincount(solution, weights=lengths).astype(np.int64)
+    open_ = np.flatnonzero((fill > 0) & (fill < capacity))
+    if len(open_) < 2:
+        return solution
+    open_ = open_[np.argsort(fill[open_], kind="stable")].tolist()
+    members: dict[int, list[int]] = {b: [] for b in open_}
+    for i in np.flatnonzero(np.isin(solution, open_)).tolist():
+        members[int(solution[i])].append(i)
+    displaced: list[int] = []
+    emptied: list[int] = []
+    while len(emptied) < len(open_) and len(displaced) < 2 * WINDOW:
+        emptied.append(open_[len(emptied)])
+        displaced += members[emptied[-1]]
+    for b in reversed(open_[len(emptied):]):
+        own, tried = members[b], range(len(displaced))
+        if len(displaced) > WINDOW:
+            tried = r.choice(len(displaced), WINDOW, replace=False).tolist()
+        both = sorted(own + [displaced[k] for k in tried], key=size.__getitem__, reverse=True)
+        taken = [both[k] for k in best_set([size[i] for i in both], capacity)]
+        if sum(size[i] for i in taken) > fill[b]:
+            solution[taken] = b
+            inside, aside = set(taken), set(tried)
+            displaced = [i for k, i in enumerate(displaced) if k not in aside] + [i for i in both if i not in inside]
+    displaced.sort(key=size.__getitem__, reverse=True)
+    n = len(fill)
+    while displaced:
+        if emptied:
+            b = emptied.pop()
+        else:
+            b, n = n, n + 1
+        near = displaced[1:1 + 3 * WINDOW]
+        inside = {0} | {1 + k for k in best_set([size[i] for i in near], capacity - size[displaced[0]])}
+        solution[[displaced[k] for k in inside]] = b
+        displaced = [i for k, i in enumerate(displaced) if k not in inside]
+    return solution
+
+
 def crossover(one: np.ndarray, two: np.ndarray, lengths: np.ndarray, capacity: int, r: np.random.Generator) -> np.ndarray:
     """One parent with some well-filled bins of the other put in whole."""
     fill = np.bincount(two, weights=lengths)
     good = np.flatnonzero(fill >= np.quantile(fill, 0.5))
     chosen = np.zeros(len(fill), np.bool_)
-    chosen[r.choice(good, max(1, len(good) // 4), replace=False)] = True
+    chosen[r.choice(good, max(1, len(good) // INJECTED), replace=False)] = True
     injected = chosen[two]
     # bins that hold an injected piece go, and so do the worst few: their other pieces are displaced
     gone = np.zeros(one.max() + 1, np.bool_)
@@ -126,22 +196,25 @@ def crossover(one: np.ndarray, two: np.ndarray, lengths: np.ndarray, capacity: i
     size = lengths[displaced] * (1 + 0.02 * r.random(len(displaced)))
     for i in displaced[np.argsort(-size, kind="stable")].tolist():
         child[i] = bins.put(int(lengths[i]))
-    return _renumbered(child)
+    return _renumbered(refit(child, lengths, capacity, r))
 
 
 def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, seed: list[int]) -> list[np.ndarray]:
-    """POPULATION solutions, best first, after GENERATIONS; what is missing in the given population is made anew."""
+    """POPULATION solutions, best first, after GENERATIONS or once no better one exists.
+
+    What is missing in the given population is made anew: best fit in falling order, and in orders near it.
+    """
     r = np.random.default_rng(seed)
-    least = -(-int(lengths.sum()) // capacity)
+    population = population[:POPULATION]
     while len(population) < POPULATION:
         size = lengths * (1 + (0.05 * r.random(len(lengths)) if population else 0.0))
         population.append(best_fit(lengths, np.argsort(-size, kind="stable"), capacity))
     rank = lambda p: sorted(p, key=lambda s: fitness(s, lengths, capacity), reverse=True)
     population = rank(population)
     for _ in range(GENERATIONS):
-        if -fitness(population[0], lengths, capacity)[0] <= least or len(lengths) < 2:
-            break  # no grouping has fewer bins
-        pairs = [r.choice(len(population), 2, replace=False) for _ in range(POPULATION - 1)]
+        if len(lengths) < 2 or settled(population[0], lengths, capacity):
+            break
+        pairs = [r.choice(len(population), 2, replace=False) for _ in range(CHILDREN)]
         population = rank(population + [crossover(population[a], population[b], lengths, capacity, r) for a, b in pairs])[:POPULATION]
     return population
 
@@ -174,7 +247,7 @@ def _placed(capacity: int):
                 offset = np.empty(len(best), np.int64)
                 offset[order] = before - np.repeat(before[first], np.diff(np.append(np.flatnonzero(first), len(best))))
                 items = pa.array([row["block"]] * len(best), pa.int64())
-                yield pa.RecordBatch.from_arrays([items, pa.array(np.arange(len(best)), pa.int32()), pa.array(best), pa.array(offset), pa.array((fill < WELL_FILLED * capacity)[best])], ["block", "nth", "bin", "offset", "open"])
+                yield pa.RecordBatch.from_arrays([items, pa.array(np.arange(len(best)), pa.int32()), pa.array(best), pa.array(offset), pa.array((fill < capacity)[best])], ["block", "nth", "bin", "offset", "open"])
 
     return run
 
@@ -211,6 +284,7 @@ def _pack_blocks(items: DataFrame, capacity: int, seed: int) -> tuple[DataFrame,
     return packed, path
 
 
+@owner
 def pack(items: DataFrame, capacity: int = 4096, seed: int = 5, block: int = BLOCK) -> DataFrame:
     """PIECES with sequence_id and offset: gapless places in sequences of at most `capacity` ids.
 

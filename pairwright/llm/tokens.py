@@ -17,6 +17,8 @@ from . import bytescan as B
 MAX_WORDS = 1_600_000
 #: Words tokenized at a time; the tokenizer's objects take about a kilobyte each.
 AT_ONCE = 20_000
+#: Words in one call's text.
+JOINED = 50
 
 
 class WordTokenizer:
@@ -27,6 +29,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip)]
+        self.mark = special[0] if special else None
         self._forget()
 
     def _forget(self) -> None:
@@ -46,9 +50,9 @@ class WordTokenizer:
             for i in range(0, len(new), AT_ONCE):
                 at = first[new[i:i + AT_ONCE]]
                 texts = [data[s:e].decode("utf-8", "replace") for s, e in zip(words.starts[at].tolist(), words.ends[at].tolist())]
-                ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                sizes.append(np.fromiter(map(len, ids), np.int32, len(ids)))
-                flat.append(np.fromiter((t for x in ids for t in x), np.uint32, int(sizes[-1].sum())))
+                own = self._ids(texts)
+                sizes.append(own[0])
+                flat.append(own[1])
             sizes = np.concatenate(sizes)
             entries = (len(self.begin) + np.arange(len(new))).astype(np.int32)
             self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(sizes, dtype=np.int64) - sizes])
@@ -60,6 +64,23 @@ class WordTokenizer:
             at = np.searchsorted(self.hashes, hashes)
         return self.entry[at]
 
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all of them.
+
+        Words are joined by a special token, which parts texts before all else, and parted at its id again; a word that holds one by
+        itself makes the number of parts differ, and then each is tokenized alone.
+        """
+        if self.mark:
+            number, mark = self.mark
+            joined = [mark.join(words[i:i + JOINED]) + mark for i in range(0, len(words), JOINED)]
+            flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+            ends = np.flatnonzero(flat == number)
+            if len(ends) == len(words):
+                return np.diff(ends, prepend=-1).astype(np.int32) - 1, np.delete(flat, ends)
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+        return sizes, np.fromiter((t for x in ids for t in x), np.uint32, int(sizes.sum()))
+
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids and len + 1 offsets; each text's ids are followed by `end` if given."""
         words = B.Words(*B.buffer_of(texts))
