@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bytescan as B
 from .components import connected
-from .storage import discard, materialize
+from .storage import discard, materialize, owner
 
 BANDS, ROWS = 24, 5
 #: Documents, and shingles, in a chunk, about.
@@ -197,13 +197,13 @@ def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= MAX_BROADCAST_ROWS else df
 
 
-def _chunk_tasks(members: DataFrame, whole: DataFrame, columns: list[str]) -> DataFrame:
-    """band, a, b: each chunk of a bucket by itself (b null) and each two of them. whole: band and its number of chunks."""
+def _chunk_tasks(members: DataFrame, whole: DataFrame, columns: list[str]) -> tuple[DataFrame, str]:
+    """band, a, b: each chunk of a bucket by itself (b null) and each two of them, and the table that holds them. whole: band and its number of chunks."""
     dealt = members.join(_small(whole, whole.count()), "band").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
-    chunks, _ = materialize(dealt.groupBy("band", "chunks", "chunk").agg(F.collect_list(F.struct(*columns)).alias("a")), "chunks")
+    chunks, path = materialize(dealt.groupBy("band", "chunks", "chunk").agg(F.collect_list(F.struct(*columns)).alias("a")), "chunks")
     alone = chunks.select("band", "a", F.lit(None).cast(chunks.schema["a"].dataType).alias("b"))
     first = chunks.where("chunk + 1 < chunks").select("band", F.explode(F.sequence(F.col("chunk") + 1, F.col("chunks") - 1)).alias("chunk"), "a")
-    return alone.union(first.join(chunks.where("chunks > 1").select("band", "chunk", F.col("a").alias("b")), ["band", "chunk"]).select("band", "a", "b"))
+    return alone.union(first.join(chunks.where("chunks > 1").select("band", "chunk", F.col("a").alias("b")), ["band", "chunk"]).select("band", "a", "b")), path
 
 
 def _star_links(docs: DataFrame, reps: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
@@ -226,8 +226,7 @@ def _star_links(docs: DataFrame, reps: DataFrame, buckets: DataFrame, percent: i
     texts, texts_path = materialize(docs.join(_small(ids, 2 * likely.count()), "doc_id", "left_semi"), "texts")
     both = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     links, _ = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "u long, v long"), "confirmed")
-    discard(spark, pairs_path)
-    discard(spark, texts_path)
+    discard(spark, pairs_path, texts_path)
     return links
 
 
@@ -240,22 +239,22 @@ def _rest_links(docs: DataFrame, reps: DataFrame, buckets: DataFrame, parts: Dat
     split, split_path = materialize(split.select("band", F.ceil(F.col("n") / CHUNK_ROWS).alias("chunks")), "open")
     own = ["doc_id", "part", "n_shingles", "signature", "bands"]
     members = held.join(_small(split.select("band"), split.count()), "band").join(reps, "doc_id").select("band", *own)
-    may = _chunk_tasks(members, split, own).mapInArrow(_candidates(percent), "band long, doc_id long").distinct()
-    may, may_path = materialize(may, "candidates")
+    tasks, tasks_path = _chunk_tasks(members, split, own)
+    may, may_path = materialize(tasks.mapInArrow(_candidates(percent), "band long, doc_id long").distinct(), "candidates")
+    discard(docs.sparkSession, tasks_path)
     n = may.count()
     sets, sets_path = materialize(_signed(docs.join(_small(may.select("doc_id").distinct(), n), "doc_id", "left_semi"), SET_SCHEMA), "sets")
     full = sets.join(_small(may, n), "doc_id").join(part, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
     whole, whole_path = materialize(full.groupBy("band").agg(F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES).alias("chunks")), "sizes")
-    links, _ = materialize(_chunk_tasks(full.select("band", *own, "shingles"), whole, [*own, "shingles"]).mapInArrow(_joining(percent), "u long, v long"), "joining")
-    discard(docs.sparkSession, split_path)
-    discard(docs.sparkSession, whole_path)
-    discard(docs.sparkSession, may_path)
-    discard(docs.sparkSession, sets_path)
+    tasks, tasks_path = _chunk_tasks(full.select("band", *own, "shingles"), whole, [*own, "shingles"])
+    links, _ = materialize(tasks.mapInArrow(_joining(percent), "u long, v long"), "joining")
+    discard(docs.sparkSession, split_path, whole_path, may_path, sets_path, tasks_path)
     return links
 
 
+@owner
 def near_duplicates(df: DataFrame, percent: int = 85, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links) and kept for each row of df.
+    """doc_id, n_shingles, component_id (smallest id reachable by links) and kept for each row of df; no other columns.
 
     Linked: five-word shingle sets with 100 * intersection >= percent * union. Texts without words are linked with
     nothing. Rows that repeat an id are one document, linked as any of them is; a row without id has
@@ -283,16 +282,16 @@ def near_duplicates(df: DataFrame, percent: int = 85, text_col: str = "text", id
     rest = _rest_links(docs, reps, buckets, parts, percent)
     if rest.limit(1).count():
         parts = connected(found.union(rest))
-    discard(spark, buckets_path)
-    discard(spark, signed_path)
-    discard(spark, copies_path)
+    discard(spark, buckets_path, signed_path, copies_path)
     own = F.coalesce("component", "rep")
-    return (
+    result = (
         rows.join(_small(parts.select(F.col("node").alias("rep"), "component"), parts.count()), "rep", "left")
         .select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
     )
+    return materialize(result, "classes")[0]
 
 
+@owner
 def deduplicate(df: DataFrame, percent: int = 85, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One document of each group of near_duplicates(), with all columns of df.
 

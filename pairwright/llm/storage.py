@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import functools
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _own_dir: list[str] = []
+#: Tables that are written and not yet discarded: the session owns them until release().
+_held: dict[str, SparkSession] = {}
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8_000_000
 
@@ -43,19 +48,58 @@ def small_batches(spark: SparkSession):
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as Parquet to the shared folder; returns the table read back, and its path.
 
-    This cuts lineage: a lost executor costs a re-read, not a re-computation.
+    This cuts lineage: a lost executor costs a re-read, not a re-computation. An operator discards the tables that its
+    result does not read; release() deletes the others once the results are used.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    _held[path] = spark
     with small_batches(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a table that nothing reads any more."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _held.pop(path, None)
+
+
+def held_tables() -> list[str]:
+    """Paths of the tables that are still there."""
+    return list(_held)
+
+
+def owner(operator):
+    """Of the tables that the operator writes only those that its result reads outlive it."""
+    @functools.wraps(operator)
+    def run(*args, **named) -> DataFrame:
+        before = set(_held)
+        result = operator(*args, **named)
+        files = result.inputFiles()
+        for path in [p for p in _held if p not in before]:
+            if not any(path.rsplit("/", 1)[-1] in f for f in files):
+                discard(result.sparkSession, path)
+        return result
+
+    return run
+
+
+def release(spark: SparkSession | None = None) -> None:
+    """Delete all tables that are still held; results that read them are then of no use. Done at exit for what is left."""
+    for path, owner in list(_held.items()):
+        if spark is None or owner is spark:
+            discard(owner, path)
+
+
+@atexit.register
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        release()
+    for path in _own_dir:
+        shutil.rmtree(path, ignore_errors=True)
 
 
 def without(df: DataFrame, names) -> DataFrame:

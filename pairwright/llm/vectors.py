@@ -1,11 +1,11 @@
 """Near-duplicate embeddings by cross-polytope hashing.
 
 Distinct vectors are rotated by seeded sign flips and fast Hadamard transforms; the largest coordinate by
-magnitude, with its sign, names a vertex of the cross-polytope, and PER_TABLE such vertices a
-bucket of one of TABLES tables. Each vector is in its own bucket and in the likeliest others (multiprobe).
+magnitude, with its sign, names a vertex of the cross-polytope, and some such vertices a
+bucket of a table. Each vector is in its own bucket and in the likeliest others (multiprobe).
 Buckets of two and more are cut into chunks of bounded size, compared as matrix products chunk by
 chunk, so a large bucket is many bounded tasks. A pair counts once: in the first bucket in which it meets.
-At cosine 0.98 a table misses a pair 8 times in 100, all seven tables about once in 10**8 pairs.
+How many vertices make a bucket follows from the largest label's count, and how many tables there are from that.
 """
 
 from __future__ import annotations
@@ -15,10 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .components import connected
-from .storage import discard, materialize
-
-#: PER_TABLE vertices of 2 x 64 make two million buckets a label; labels of over 10**7 vectors want 4.
-TABLES, PER_TABLE, PROBES = 7, 3, 4
+from .storage import discard, materialize, owner
+
+PROBES = 4
+#: Tables for so many vertices a bucket. At cosine 0.98 and 64 dimensions a table misses 2, 8, 17 and 28 pairs in 100, and all
+#: tables together about one in 10**8.
+TABLES = {2: 5, 3: 7, 4: 10, 5: 14}
+#: Vectors in a vertex bucket of the largest label, on average.
+PER_BUCKET = 5
 #: Vectors in a chunk, about; two chunks meet in one task.
 CHUNK = 512
 SEED = 17
@@ -34,22 +38,31 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
-def bucket_keys(vectors: np.ndarray) -> np.ndarray:
-    """rows x TABLES x PROBES bucket numbers; the first is the vector's own bucket.
+def _width(dim: int) -> int:
+    return max(2, 1 << max(0, dim - 1).bit_length())
+
+
+def layout(n: int, dim: int) -> int:
+    """How many vertices make a bucket where a label has n vectors of dim components."""
+    return next((k for k in TABLES if PER_BUCKET * (2 * _width(dim)) ** k >= n), max(TABLES))
+
+
+def bucket_keys(vectors: np.ndarray, vertices: int) -> np.ndarray:
+    """rows x tables x PROBES bucket numbers; the first is the vector's own bucket.
 
     A probe changes one vertex, to the second or third largest coordinate; those with the least loss of magnitude are taken.
     """
-    dim = vectors.shape[1]
-    wide = max(2, 1 << max(0, dim - 1).bit_length())
+    dim, tables = vectors.shape[1], TABLES[vertices]
+    wide = _width(dim)
     padded = np.zeros((len(vectors), wide))
     padded[:, :dim] = vectors
     rng = np.random.default_rng(SEED)
-    out = np.zeros((len(vectors), TABLES, PROBES), np.int64)
+    out = np.zeros((len(vectors), tables, PROBES), np.int64)
     rows = np.arange(len(vectors))
     ranks = min(3, wide)
-    for t in range(TABLES):
+    for t in range(tables):
         choice, gaps = [], []
-        for _ in range(PER_TABLE):
+        for _ in range(vertices):
             x = padded
             for _ in range(3):
                 x = hadamard(x * rng.choice([-1.0, 1.0], wide))
@@ -63,28 +76,34 @@ def bucket_keys(vectors: np.ndarray) -> np.ndarray:
 
         own = [c[:, 0] for c in choice]
         out[:, t, 0] = key(own)
-        swaps = [(f, rank) for f in range(PER_TABLE) for rank in range(1, ranks)]
+        swaps = [(f, rank) for f in range(vertices) for rank in range(1, ranks)]
         loss = np.array([gaps[f][:, rank] for f, rank in swaps])
-        others = np.array([key([choice[f][:, rank] if i == f else own[i] for i in range(PER_TABLE)]) for f, rank in swaps])
+        others = np.array([key([choice[f][:, rank] if i == f else own[i] for i in range(vertices)]) for f, rank in swaps])
         best = np.argsort(loss, axis=0, kind="stable")
         for p in range(1, PROBES):
             out[:, t, p] = others[best[min(p, len(swaps)) - 1], rows]
     return out
 
 
-def _with_keys(batches):
-    """id, label, copies, embedding in; codes (bucket number * TABLES + table) added."""
-    for batch in batches:
-        flat = batch.column(3)
-        starts = flat.offsets.to_numpy()
-        values = flat.values.to_numpy(zero_copy_only=False)
-        sizes = np.diff(starts)
-        for dim in np.unique(sizes):
-            pick = np.flatnonzero(sizes == dim)
-            x = values[starts[:-1][pick][:, None] + np.arange(dim)].astype(np.float64)
-            codes = bucket_keys(_units(x)) * TABLES + np.arange(TABLES)[None, :, None]
-            own = batch.take(pa.array(pick))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(pick) + 1, dtype=np.int32) * (TABLES * PROBES)), pa.array(codes.ravel()))], [*own.schema.names, "codes"])
+def _with_keys(most: int):
+    """Rows that end in an embedding in; codes (bucket number * tables + table) added. most: vectors of the largest label."""
+    def run(batches):
+        for batch in batches:
+            flat = batch.column(batch.num_columns - 1)
+            starts = flat.offsets.to_numpy()
+            values = flat.values.to_numpy(zero_copy_only=False)
+            sizes = np.diff(starts)
+            for dim in np.unique(sizes):
+                pick, vertices = np.flatnonzero(sizes == dim), layout(most, int(dim))
+                tables = TABLES[vertices]
+                for at in range(0, len(pick), 2000):
+                    some = pick[at:at + 2000]
+                    x = values[starts[:-1][some][:, None] + np.arange(dim)].astype(np.float64)
+                    codes = bucket_keys(_units(x), vertices) * tables + np.arange(tables)[None, :, None]
+                    own = batch.take(pa.array(some))
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * (tables * PROBES)), pa.array(codes.ravel()))], [*own.schema.names, "codes"])
+
+    return run
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -107,7 +126,7 @@ def _roots(linked: np.ndarray) -> np.ndarray:
 def _side(cell):
     s = cell.values
     n = len(s)
-    return s.field("id").to_numpy(), s.field("copies").to_numpy(), _units(s.field("embedding").flatten().to_numpy().reshape(n, -1).astype(np.float64)), s.field("codes").flatten().to_numpy().reshape(n, TABLES, PROBES)
+    return s.field("id").to_numpy(), s.field("copies").to_numpy(), _units(s.field("embedding").flatten().to_numpy().reshape(n, -1).astype(np.float64)), s.field("codes").flatten().to_numpy().reshape(n, -1, PROBES)
 
 
 def _compare(least: float):
@@ -115,9 +134,9 @@ def _compare(least: float):
     def run(batches):
         for batch in batches:
             for code, a, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                table = code % TABLES
                 same = not b.is_valid
                 x = _side(a)
+                table = code % x[3].shape[1]
                 y = x if same else _side(b)
                 i, j = np.nonzero(x[2] @ y[2].T >= least)
                 if same:
@@ -144,44 +163,47 @@ def _compare(least: float):
     return run
 
 
+@owner
 def near_duplicates(df: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """vec_id, n_links (other vectors of its label with cosine >= least), component_id and kept for each row.
+    """vec_id, n_links (other vectors of its label with cosine >= least), component_id and kept for each row; no other columns.
 
     Equal vectors of a label are compared once and counted as often as they occur. Rows without id or label, and
     vectors that are null, empty, zero or hold a null or non-finite component, link with nothing, as do vectors of
-    different lengths. A row that repeats an id counts as one more vector.
+    different lengths. A row that repeats an id, in its label or another, is one more vector with links of its own.
     """
+    spark = df.sparkSession
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").alias("label"), F.col(f"`{vector_col}`").alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows, _ = materialize(rows.withColumn("sound", sound).withColumn("embedding", F.when(F.col("sound"), F.col("embedding"))), "vectors")
-    groups = rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    groups = groups.select("id", "label", "copies", "embedding")
-    signed, _ = materialize(groups.mapInArrow(_with_keys, _schema(groups)), "signed")
+    most = rows.where("sound").groupBy("label").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    # a group is the equal vectors of a label; its number is fixed when it is written
+    groups = rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    groups = groups.select(F.monotonically_increasing_id().alias("id"), "label", "least", "copies", "embedding")
+    signed, signed_path = materialize(groups.mapInArrow(_with_keys(most), _schema(groups)), "signed")
 
     bucket = ["label", "dim", "code"]
     member = signed.select("id", "label", F.size("embedding").alias("dim"), F.explode(F.array_distinct("codes")).alias("code"))
     shared = member.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     member = member.join(shared, bucket).withColumn("chunks", F.ceil(F.col("n") / CHUNK)).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
-    full = member.join(signed.select("id", "copies", "embedding", "codes", F.col("label").alias("l")), "id").where("l = label")
+    full = member.join(signed.select("id", "copies", "embedding", "codes"), "id")
     chunks, chunks_path = materialize(full.groupBy(*bucket, "chunks", "chunk").agg(F.collect_list(F.struct("id", "copies", "embedding", "codes")).alias("members")), "chunks")
     alone = chunks.select("code", F.col("members").alias("a"), F.lit(None).cast(chunks.schema["members"].dataType).alias("b"))
     others = chunks.where("chunk + 1 < chunks").select(*bucket, F.explode(F.sequence(F.col("chunk") + 1, F.col("chunks") - 1)).alias("chunk"), F.col("members").alias("a"))
     met = others.join(chunks.select(*bucket, "chunk", F.col("members").alias("b")), [*bucket, "chunk"]).select("code", "a", "b")
-    found, _ = materialize(alone.union(met).mapInArrow(_compare(least), "u long, v long, n long"), "found")
-    discard(df.sparkSession, chunks_path)
-
-    parts = connected(found.select("u", "v"))
-    links = found.groupBy("u").agg(F.sum("n").alias("n"))
-    known = (
-        signed.select("id", "label", "embedding", "copies")
-        .join(links.select(F.col("u").alias("id"), "n"), "id", "left")
-        .join(parts.select(F.col("node").alias("id"), "component"), "id", "left")
-        .select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    )
+    found, found_path = materialize(alone.union(met).mapInArrow(_compare(least), "u long, v long, n long"), "found")
+
+    parts = connected(found.select("u", "v")).select(F.col("node").alias("id"), "component")
+    links = found.groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n"))
+    own = signed.select("id", "label", "embedding", "copies", "least").join(links, "id", "left").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    own, _ = materialize(own, "linked")
+    # the smallest vec_id of a component of two groups or more
+    first = own.where("n is not null").groupBy("component").agg(F.min("least").alias("first"))
+    known = own.join(first, "component", "left").select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "least").alias("component_id"))
     good = rows.where("sound").join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     rest = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    discard(spark, signed_path, chunks_path, found_path)
+    return materialize(good.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "classes")[0]
 
 
 def _schema(groups: DataFrame):

@@ -123,3 +123,37 @@ def test_deduplicate_goes_by_row(spark):
     kept = [tuple(r)[:2] for r in got.collect()]
     groups = [[(1, words[0]), (5, words[0])], [(5, words[1])], [(9, words[2])], [(7, None)]]
     assert all(sum(kept.count(x) for x in group) == 1 for group in groups) and kept.count((None, words[3])) == 2 and len(kept) == 6
+
+
+def test_repeated_vector_ids_are_vectors_of_their_own(spark):
+    near = [[1.0, 0.01 * k, 0.0, 0.0] for k in range(3)]
+    rows = [(1, near[0], 0), (1, near[1], 0), (2, near[2], 0), (1, [0.0, 0.0, 1.0, 0.0], 1), (5, [0.0, 0.0, 1.0, 0.0], 2), (5, [0.0, 0.0, 2.0, 0.0], 2), (4, [0.0, 1.0, 1.0, 0.0], 0), (1, [0.0, 1.0, 1.01, 0.0], 0)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 0, 1, True), (1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (4, 1, 1, False), (5, 1, 5, True), (5, 1, 5, True)]
+
+
+@pytest.mark.parametrize("vertices", sorted(vectors.TABLES))
+def test_recall_of_pairs_at_the_threshold(vertices):
+    r = np.random.default_rng(vertices)
+    x = r.normal(size=(3000, 64))
+    y = r.normal(size=x.shape)
+    x, y = (v / np.sqrt((v * v).sum(axis=1, keepdims=True)) for v in (x, y - (x * y).sum(axis=1, keepdims=True) / (x * x).sum(axis=1, keepdims=True) * x))
+    near = 0.98 * x + np.sqrt(1 - 0.98**2) * y
+    a, b = vectors.bucket_keys(x, vertices), vectors.bucket_keys(near, vertices)
+    met = np.array([(a[:, t][:, :, None] == b[:, t][:, None, :]).any(axis=(1, 2)) for t in range(vectors.TABLES[vertices])])
+    assert met.any(axis=0).mean() >= 0.9999 and met.mean() < 1
+
+
+def test_layout_follows_the_largest_label():
+    assert [vectors.layout(n, 64) for n in (0, 80_000, 100_000, 10_000_000, 100_000_000, 10**12)] == [2, 2, 3, 3, 4, 5]
+
+
+def test_operators_leave_only_what_their_results_read(spark):
+    from pairwright.llm import storage
+
+    storage.release(spark)
+    rows = corpus(40)
+    result = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA))
+    assert len(storage.held_tables()) == 1 and result.count() == len(rows)
+    storage.release(spark)
+    assert storage.held_tables() == []

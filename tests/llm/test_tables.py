@@ -143,6 +143,56 @@ def test_crossover_keeps_groupings_sound():
     assert packing.fitness(population[0], lengths, 100) >= packing.fitness(first, lengths, 100)
 
 
+def missed_blocks(n):
+    """Blocks of lengths like the documents', with sums just below a multiple of the capacity: best fit in falling order misses the bound."""
+    r, out = np.random.default_rng(11), []
+    while len(out) < n:
+        lengths = np.sort(np.minimum(r.lognormal(6.4, 1.0, 2500).astype(int) + 8, 4095))[::-1].astype(np.int64)
+        short = -int(lengths.sum()) % 4096
+        lengths[:short // 8 + 1] = np.minimum(lengths[:short // 8 + 1] + 8, 4095)
+        lengths = np.sort(lengths)[::-1].copy()
+        first = packing.best_fit(lengths, np.argsort(-lengths, kind="stable"), 4096)
+        if first.max() + 1 > -(-int(lengths.sum()) // 4096):
+            out.append((lengths, first))
+    return out
+
+
+def test_crossover_closes_the_gaps_that_best_fit_leaves(monkeypatch):
+    ran, own, won = [], packing.crossover, 0
+    monkeypatch.setattr(packing, "crossover", lambda *a: (ran.append(1), own(*a))[1])
+    blocks = missed_blocks(8)
+    for k, (lengths, first) in enumerate(blocks):
+        before = len(ran)
+        population = packing.evolve(lengths, [], 4096, [k])
+        for epoch in range(1, 3):
+            population = packing.evolve(lengths, population, 4096, [k, epoch])
+        fill = np.bincount(population[0], weights=lengths)
+        assert len(ran) > before and fill.max() <= 4096 and len(fill) <= first.max() + 1
+        won += len(fill) == -(-int(lengths.sum()) // 4096) < first.max() + 1
+    assert won > len(blocks) // 2
+
+
+def test_best_set_against_all_sets():
+    import itertools
+
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        sizes = sorted(r.integers(1, 50, int(r.integers(0, 9))).tolist(), reverse=True)
+        room = int(r.integers(0, 120))
+        got = packing.best_set(sizes, room)
+        sums = [sum(s) for k in range(len(sizes) + 1) for s in itertools.combinations(sizes, k)]
+        assert len(set(got)) == len(got) and sum(sizes[i] for i in got) == max(x for x in sums if x <= room)
+
+
+def test_words_that_hold_special_tokens(spark):
+    from pairwright.llm.tokens import WordTokenizer
+    import pyarrow as pa
+
+    texts = ["a<|startoftext|>b <|startoftext|> x", "<|endoftext|>y", "plain 'tis it's 3rd\u0301 Ünï", "<<|startoftext", "", "<|startoftext|>"]
+    ids, offsets = WordTokenizer(packing.default_tokenizer()).encode(pa.array(texts), 1)
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == reference_ids(texts)
+
+
 def test_pipeline_stages_narrow_and_end_packed(spark, docs):
     at = docs.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
     before = {r.doc_id for r in at.collect()}
