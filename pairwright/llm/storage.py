@@ -35,14 +35,22 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession):
-    """Arrow batches of at most BATCH_BYTES for what runs within: a batch is held several times over, by JVM and worker."""
-    before = spark.conf.get(_BATCH_KEY)
-    spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+def settings(spark: SparkSession, **values: str):
+    """Session settings (dots written as __) for what runs within."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_BATCH_KEY, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession):
+    """Arrow batches of at most BATCH_BYTES for what runs within: a batch is held several times over, by JVM and worker."""
+    return settings(spark, **{_BATCH_KEY.replace(".", "__"): str(BATCH_BYTES)})
 
 
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
