@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .license_rules import GROUPS
 from .storage import count_words, without
 
 #: What parts the words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of an A-Z-lowered text, before lowering or after.
@@ -32,97 +33,6 @@ class Rule:
     base: bool = False
 
 
-#: label, keyword, name as a regex over words. More exact names come first.
-FAMILIES = [
-    ("agpl-3.0", "affero", r"(?:gnu )?affero general public license(?: (?:version|v))? (?:v3|3)(?: 0)?"),
-    ("agpl", "affero", r"(?:gnu )?affero general public license"),
-    ("agpl", "agpl", r"agpl(?:v3| v3| 3 0| 3)?"),
-    ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public license(?: (?:version|v))? (?:v2|2) 1"),
-    ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public license(?: (?:version|v))? (?:v3|3)(?: 0)?"),
-    ("lgpl", "lesser|library general", r"(?:gnu )?(?:lesser|library) general public license"),
-    ("lgpl", "lgpl", r"lgpl(?:v3|v2| v3| v2| 2 1| 3 0| 3)?"),
-    ("gpl-2.0", "general public", r"(?:gnu )?general public license(?: (?:version|v))? (?:v2|2)(?: 0)?"),
-    ("gpl-3.0", "general public", r"(?:gnu )?general public license(?: (?:version|v))? (?:v3|3)(?: 0)?"),
-    ("gpl", "general public", r"(?:gnu )?general public license"),
-    ("gpl-2.0", "gpl", r"(?:gnu )?gpl(?:v2| v2| 2 0| 2)"),
-    ("gpl-3.0", "gpl", r"(?:gnu )?gpl(?:v3| v3| 3 0| 3)"),
-    ("gfdl", "free documentation", r"(?:gnu )?free documentation license(?: (?:version )?1 [123])?"),
-    ("apache-2.0", "apache", r"apache(?: software)? license(?: (?:version|v))? (?:v2|2)(?: 0)?"),
-    ("apache-1.1", "apache", r"apache(?: software)? license(?: version)? 1 [01]"),
-    ("apache", "apache", r"apache(?: software)? license"),
-    ("mit", "mit licen|mit x11 licen|expat licen|expat x11 licen", r"(?:mit|expat)(?: x11)? licen[sc]e"),
-    ("mit-0", "mit no attribution", r"mit no attribution"),
-    ("x11", "x11 licen", r"x11 licen[sc]e"),
-    ("bsd-2-clause", "bsd|freebsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[sc]e)?"),
-    ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: licen[sc]e)?"),
-    ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[sc]e)?"),
-    ("bsd-0-clause", "bsd|0bsd", r"(?:0bsd|bsd zero clause|zero clause bsd)(?: licen[sc]e)?"),
-    ("bsd", "bsd", r"bsd(?: style| type)? licen[sc]e"),
-    ("isc", "isc licen", r"isc licen[sc]e"),
-    ("mpl-2.0", "mozilla", r"mozilla public license(?: (?:version|v))? (?:v2|2)(?: 0)?"),
-    ("mpl-1.1", "mozilla", r"mozilla public license(?: (?:version|v))? 1 1"),
-    ("mpl", "mozilla", r"mozilla public license"),
-    ("mpl-2.0", "mpl", r"mpl(?:v2| v2| 2 0| 2)"),
-    ("epl-2.0", "eclipse", r"eclipse public license(?: (?:version|v))? (?:v2|2)(?: 0)?"),
-    ("epl-1.0", "eclipse", r"eclipse public license(?: (?:version|v))? (?:v1|1)(?: 0)?"),
-    ("epl", "eclipse", r"eclipse public license"),
-    ("edl-1.0", "eclipse", r"eclipse distribution license"),
-    ("cddl", "common development", r"common development and distribution license"),
-    ("cpl-1.0", "common public", r"common public license"),
-    ("eupl", "union public", r"european union public licen[sc]e"),
-    ("artistic-2.0", "artistic", r"artistic license(?: (?:version|v))? 2(?: 0)?"),
-    ("artistic", "artistic", r"artistic license"),
-    ("zlib", "zlib licen|zlib libpng licen", r"zlib(?: libpng)? licen[sc]e"),
-    ("bsl-1.0", "boost", r"boost software license"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl"),
-    ("postgresql", "postgresql", r"postgresql licen[sc]e"),
-    ("python-2.0", "python software", r"python software foundation license"),
-    ("php", "php license", r"php license"),
-    ("ofl-1.1", "open font", r"(?:sil )?open font license"),
-    ("odbl", "open database", r"open database license"),
-    ("odc-by", "open data commons", r"open data commons attribution license"),
-    ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by-nc-nd", "cc by", r"cc by nc nd(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "cc by", r"cc by nc sa(?: [1-4] [05])?"),
-    ("cc-by-nc", "cc by", r"cc by nc(?: [1-4] [05])?"),
-    ("cc-by-nd", "cc by", r"cc by nd(?: [1-4] [05])?"),
-    ("cc-by-sa", "cc by", r"cc by sa(?: [1-4] [05])?"),
-    ("cc-by-4.0", "cc by", r"cc by 4 0"),
-    ("cc-by-3.0", "cc by", r"cc by 3 0"),
-    ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike(?: [1-4] [05])?"),
-    ("cc-by-nc", "creative commons", r"creative commons attribution non ?commercial(?: [1-4] [05])?"),
-    ("cc-by", "creative commons", r"creative commons attribution(?: [1-4] [05])?"),
-    ("creative-commons", "creative commons", r"creative commons"),
-]
-
-#: The ways in which a text names a license: words before, words after, priority, weight.
-FORMS = [
-    (r"", r"", 1, 0.6),
-    (r"(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?", r"", 2, 0.9),
-    (r"spdx license identifier ", r"(?: only| or later)?", 3, 1.0),
-    (r"under the terms (?:and conditions )?of (?:the )?", r"(?: as published by .{1,60}? foundation)?", 3, 0.95),
-    (r"subject to the (?:terms of the )?", r"", 2, 0.85),
-    (r"see the ", r" for (?:more )?details", 3, 0.9),
-]
-
-#: Notices that name no license, or one by its wording.
-NOTICES = [
-    ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy", 3, 1.0),
-    ("isc", "permission to use copy", r"permission to use copy modify and(?: or)? distribute this software", 3, 0.95),
-    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms", 3, 0.95),
-    ("gpl", "free software you can", r"this program is free software you can redistribute it and or modify it", 3, 0.95),
-    ("lgpl", "free software you can", r"this library is free software you can redistribute it and or modify it", 3, 0.95),
-    ("unlicense", "unencumbered", r"free and unencumbered software released into the public domain", 3, 1.0),
-    ("zlib", "provided as is", r"this software is provided as is without any express or implied warranty", 2, 0.7),
-    ("public-domain", "public domain", r"(?:in|into|to) the public domain", 2, 0.7),
-    ("public-domain", "public domain", r"public domain", 1, 0.4),
-    ("all-rights-reserved", "rights reserved", r"all rights reserved", 2, 0.7),
-    ("copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9][0-9]", 1, 0.3),
-    ("proprietary", "confidential", r"proprietary and confidential", 2, 0.8),
-    ("license-reference", "license", r"see (?:the )?license(?: file| txt| md)", 1, 0.3),
-]
-
 #: Contract phrases (fixed values); they are labelled wherever they stand.
 BASE = [
     ("gpl", "gnu general public license"),
@@ -133,12 +43,8 @@ BASE = [
 
 
 def default_rules() -> list[Rule]:
-    """The rules in order: base phrases, notices, then each family in each form."""
-    rules = [Rule(label, words, words, 1, 0.6, True) for label, words in BASE]
-    rules += [Rule(*x) for x in NOTICES]
-    for before, after, priority, weight in FORMS:
-        rules += [Rule(label, key, before + name + after, priority, weight) for label, key, name in FAMILIES]
-    return rules
+    """The rules in order: base phrases, then the signatures by group."""
+    return [Rule(label, words, words, 1, 0.6, True) for label, words in BASE] + [Rule(*x) for group in GROUPS for x in group]
 
 
 def _tagged(pattern: str) -> str:
@@ -157,7 +63,7 @@ def _tagged(pattern: str) -> str:
         else:
             out.append(pattern[i])
             i += 1
-    return "(?<![^ ])" + "".join(out) + "\x01[0-9]+"
+    return "(?<![^ ])(?:" + "".join(out) + ")\x01[0-9]+"
 
 
 def _keywords(rules: list[Rule]) -> list[str]:
@@ -165,29 +71,38 @@ def _keywords(rules: list[Rule]) -> list[str]:
     return sorted({k for r in rules for k in r.keyword.split("|")})
 
 
+#: Words that stand in much prose of other kinds; they gate nothing by themselves.
+COMMON = {
+    "available", "control", "document", "educational", "event", "freedom", "general", "good", "government", "library", "network", "note", "open", "part", "personal",
+    "project", "public", "purposes", "received", "research", "restriction", "should", "software", "source", "special", "subject", "third", "united", "university", "useful",
+    "version", "without", "young",
+}
+
+
 def gate_words(rules: list[Rule]) -> dict[str, str]:
-    """For each keyword of the rules a word of it that stands for it, as short a list of words as comes easily.
+    """For each keyword of the rules a word of it that stands for it, or the keyword itself if all its words are short or common.
 
-    A text that holds none of the words, wherever they begin, has no match of any rule.
+    Words are shared where that comes easily. A text that holds none of them, wherever they begin, has no match of any rule.
     """
     words: dict[str, str] = {}
     for key in sorted(_keywords(rules), key=lambda k: (k.count(" "), len(k), k)):
-        known = [w for w in words.values() if w in key]
-        words[key] = known[0] if known else max(key.split(), key=len, default="")
+        fit = [w for w in key.split() if len(w) > 4 and w not in COMMON]
+        known = [w for w in words.values() if " " not in w and len(w) > 4 and any(w in x for x in fit)]
+        words[key] = known[0] if known else max(fit, key=len) if fit else key
     return words
 
 
 def _gate(low: Column, rules: list[Rule]) -> Column:
-    """Whether a lower-cased text may hold a keyword of the rules; short words must have their keyword's others beside them."""
-    keys: dict[str, list[str]] = {}
-    for key, word in gate_words(rules).items():
-        keys.setdefault(word, []).append(key)
+    """Whether a lower-cased text may hold a keyword of the rules: by plain search for words, by one regex for the rest."""
+    of = set(gate_words(rules).values())
+    if "" in of:
+        return F.lit(True)
     out = F.lit(False)
-    for word, of in keys.items():
-        held = F.contains(low, F.lit(word))
-        if len(word) < 4 and all(" " in k for k in of):
-            held = held & low.rlike("|".join(BETWEEN.join(k.split(" ")) for k in of))
-        out = out | held
+    for word in sorted(w for w in of if " " not in w and len(w) > 3):
+        out = out | F.contains(low, F.lit(word))
+    rest = sorted(w for w in of if " " in w or len(w) <= 3)
+    if rest:
+        out = out | low.rlike(r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:" + "|".join(BETWEEN.join(k.split(" ")) for k in rest) + ")")
     return out
 
 
