@@ -3,7 +3,8 @@
 Rows hang in a tree of domain, language and source. A token budget goes down the tree by weight; a child that cannot
 take its share leaves the rest to its siblings, and what a whole family cannot take goes back to its
 parent's siblings, since a family's capacity is the sum of its leaves'. A leaf spends its budget on whole
-epochs of its documents and on a prefix of the next one, in an order that seed, epoch and id decide.
+epochs of its documents and on a prefix of the next one, in an order that seed, epoch and id decide. Where the prefix
+ends is found by halving in many: sums of a leaf's slices tell the slice in which it ends, and that one is sliced again.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .storage import count_words, materialize, without
+from .storage import count_words, materialize, owner, without
 
-#: Documents in a slice of a leaf's order, about; a slice's running sum is one task's work.
-SLICE_ROWS = 4096
+#: Documents in a slice of a leaf's order, about, and most slices of a leaf at a time.
+SLICE_ROWS, MAX_SLICES = 256, 32_768
 #: A plan of so many leaves is a few MB and may be broadcast; a larger one is joined by shuffle.
 MAX_BROADCAST_LEAVES = 50_000
 LEVELS = ["mix_domain", "mix_lang", "mix_source"]
@@ -82,49 +83,71 @@ def budgets(leaves: DataFrame, weights: Weights, total: Column, max_epochs: int)
     return _shares(nodes, ["mix_domain", "mix_lang"], F.col("b1")).select(*LEVELS, "supply", "rows", "given")
 
 
+def _ends(rows: DataFrame, slice_: Column, name: str) -> DataFrame:
+    """For each leaf of rows (LEVELS, n, left): the slice in which a prefix of `left` tokens ends, what is left at its start, and its rows."""
+    sums = rows.groupBy(*LEVELS, slice_.alias(name)).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("left").alias("left"))
+    through = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy(name))
+    over = sums.withColumn("through", through).where("through > left")
+    first = over.groupBy(*LEVELS).agg(F.min(F.struct(name, (F.col("left") - F.col("through") + F.col("n")).alias("left"), "rows")).alias("e"))
+    return first.select(*LEVELS, f"e.{name}", "e.left", F.least(F.ceil(F.col("e.rows") / SLICE_ROWS), F.lit(MAX_SLICES)).cast("long").alias("k"))
+
+
+@owner
 def mix(df: DataFrame, weights: Weights = DEFAULT_WEIGHTS, percent: int = 100, max_epochs: int = 4, seed: int = 23,
-        domain: Column | None = None, tokens: Column | None = None, lang_col: str = "lang", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+        domain: Column | None = None, tokens: Column | None = None, lang_col: str = "lang", source_col: str = "source", id_col: str = "doc_id", crossing: bool = False) -> DataFrame:
     """The chosen rows of df with domain, n_tokens and epochs (how often the row is taken, 1 or more).
 
     The budget is percent of all tokens; a row is taken max_epochs times at most. A null language or source counts as the
     empty name, and a null id as the empty one; rows without tokens are never taken. Each node's budget is rounded down to whole tokens,
-    and a leaf's prefix ends before the document that would exceed its budget. Rows equal in id have equal places in the
-    order, and ties are taken in any order. Input columns named like an added one are replaced. A hot leaf is cut into
-    slices of its order: only the slice in which its prefix ends is sorted.
+    and a leaf's prefix ends before the document that would exceed its budget, or with it if crossing is set. Rows equal in id have equal places in the
+    order, and ties are taken in any order. Input columns named like an added one are replaced; others may have any name. No slice of
+    a hot leaf, or of the rows that share an id, is sorted but the small ones in which prefixes end. An empty table gives no rows.
     """
-    names = [*LEVELS, "domain", "n_tokens", "epochs", "_order", "_slice"]
-    own = without(df, names)
-    columns = [F.col(f"`{c}`") for c in own.columns]
+    own = without(df, ["domain", "n_tokens", "epochs"])
     rows = own.select(
-        *columns, (tokens if tokens is not None else word_count()).alias("n_tokens"),
+        F.struct(*[F.col(f"`{c}`") for c in own.columns]).alias("row"), (tokens if tokens is not None else word_count()).alias("n"),
+        F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("id"), F.monotonically_increasing_id().alias("nth"),
         F.coalesce(domain if domain is not None else default_domain(source_col), F.lit("")).alias("mix_domain"),
-        F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("mix_lang"),
-        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("mix_source"),
-    ).where("n_tokens > 0")
+        F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("mix_lang"),
+        F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("mix_source"),
+    ).where("n > 0")
     rows, _ = materialize(rows, "mix")
-    leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply"), F.count(F.lit(1)).alias("rows"))
-    leaves, _ = materialize(leaves, "leaves")
+    leaves, _ = materialize(rows.groupBy(*LEVELS).agg(F.sum("n").alias("supply"), F.count(F.lit(1)).alias("rows")), "leaves")
     total = F.lit((leaves.agg(F.sum("supply").alias("n")).first()["n"] or 0) * percent // 100)
     plan = budgets(leaves, weights, total, max_epochs).where("given > 0")
-    plan = plan.select(*LEVELS, F.expr("given div supply").alias("_full"), F.expr("given % supply").alias("_rest"), F.ceil(F.col("rows") / SLICE_ROWS).cast("long").alias("_slices"))
+    plan = plan.select(*LEVELS, F.expr("given div supply").alias("whole"), F.expr("given % supply").alias("left"), F.least(F.ceil(F.col("rows") / SLICE_ROWS), F.lit(MAX_SLICES)).cast("long").alias("k1"))
     plan, _ = materialize(plan, "plan")
     small = F.broadcast if plan.count() <= MAX_BROADCAST_LEAVES else (lambda x: x)
 
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("_full").cast("string"), F.lit(":"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))))
-    # the first 8 hex digits cut the order into even slices
-    ordered = rows.join(small(plan), LEVELS).withColumn("_order", key)
-    ordered = ordered.withColumn("_slice", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * F.col("_slices") / F.lit(1 << 32)))
-    sums = ordered.groupBy(*LEVELS, "_slice").agg(F.sum("n_tokens").alias("n"), F.max("_rest").alias("_rest"))
-    through = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("_slice"))
-    ends = sums.withColumn("_through", through).where(F.col("_through") > F.col("_rest"))
-    ends = ends.groupBy(*LEVELS).agg(F.min(F.struct("_slice", (F.col("_rest") - F.col("_through") + F.col("n")).alias("left"))).alias("e"))
-    cut = ends.select(*LEVELS, F.col("e._slice").alias("_cut"), F.col("e.left").alias("_left"))
-    # every leaf has a cut, as the rest is below its supply
-    placed = ordered.join(small(cut), LEVELS)
-    clear = placed.where("_slice <> _cut").withColumn("epochs", F.col("_full") + F.when(F.col("_slice") < F.col("_cut"), 1).otherwise(0))
-    running = F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("_order", f"`{id_col}`").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edge = placed.where("_slice = _cut").withColumn("epochs", F.col("_full") + F.when(running <= F.col("_left"), 1).otherwise(0))
-    return clear.unionByName(edge).where("epochs > 0").select(*columns, F.col("mix_domain").alias("domain"), "n_tokens", "epochs")
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("whole").cast("string"), F.lit(":"), F.col("id")))
+    place = F.conv(F.substring("order", 1, 8), 16, 10).cast("long")  # the first 8 hex digits cut the order into even slices
+    salt = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "nth"), 32)
+
+    def placed(of: DataFrame) -> DataFrame:
+        return of.join(small(plan), LEVELS).withColumn("order", order)
+
+    def sliced(*factors: str) -> Column:
+        return F.floor(place * F.expr(" * ".join(factors)) / F.lit(1 << 32)).cast("long")
+
+    slices = [("e1", sliced("k1")), ("e2", sliced("k1", "k2")), ("e3", F.col("order")), ("e4", F.floor(salt * F.col("k4") / F.lit(1 << 32)).cast("long"))]
+    narrow = rows.select("n", "id", "nth", *LEVELS)
+    for i, (name, by) in enumerate(slices):
+        # every leaf has an end, as what is left is below its supply
+        inside = placed(narrow)
+        for end, before in slices[:i]:
+            inside = inside.where(before == F.col(end))
+        ends = _ends(inside, by, name).withColumnRenamed("k", f"k{i + 2}")
+        plan, _ = materialize(plan.drop("left").join(ends, LEVELS), "plan")
+    taken, edge = F.lit(False), F.lit(True)
+    for end, by in reversed(slices):
+        taken = (by < F.col(end)) | ((by == F.col(end)) & taken)
+        edge = (by == F.col(end)) & edge
+    at = placed(rows).withColumn("edge", edge)
+    clear = at.where(~F.col("edge")).withColumn("epochs", F.col("whole") + F.when(taken, 1).otherwise(0))
+    running = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    within = (running - F.col("n") < F.col("left")) if crossing else (running <= F.col("left"))
+    last = at.where("edge").withColumn("epochs", F.col("whole") + F.when(within, 1).otherwise(0))
+    return clear.unionByName(last).where("epochs > 0").select("row.*", F.col("mix_domain").alias("domain"), F.col("n").alias("n_tokens"), "epochs")
 
 
 def digest(docs: DataFrame) -> DataFrame:
