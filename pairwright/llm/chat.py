@@ -4,25 +4,27 @@ The legal sequences are: an optional system turn, then user and assistant by tur
 over that automaton chooses, turn by turn, to keep a turn, merge it into the one before, change its role,
 or insert an empty turn, at the least total cost. The repaired turns are then rendered.
 
-Turns are range-partitioned by conversation, and those of a conversation of more than LONG turns by turn too, so a
-conversation of any length is cut into fragments of a partition's size at most. A fragment is a min-plus matrix between automaton states; the matrices of the few conversations that
-cross a partition's edge are chained on the driver, and each fragment is then solved between its two known states.
+A result row is a fragment: FRAGMENT turns of a conversation, or what is left of it at its end, for conversations of every length. A
+fragment is a min-plus matrix between automaton states; matrices are multiplied in runs of GROUP fragments, the runs of a
+conversation are chained, and so each fragment's two states are known, between which it is then solved and rendered by itself.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
-from .storage import materialize
+from .storage import materialize, owner
 
 ROLES = ["start", "system", "user", "assistant"]
 START, SYSTEM, USER, ASSISTANT = range(4)
 FAR = 1 << 40
-#: Conversations of more turns may be cut.
-LONG = 4096
+#: Turns in a fragment, and fragments in a run whose matrices one task holds.
+FRAGMENT, GROUP = 4096, 4096
 #: So many ids are 16 MB; more are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -142,93 +144,138 @@ def render(roles: list[int], texts: list[str | None], costs: Costs, template: Te
 
 
 def _fragments(batches):
-    """(conv_id, part, roles, texts) of rows conv_id, part, role, text that come in order; fragments may cross batches."""
-    key, roles, texts = None, [], []
+    """(none, conv, fragment), entry, exit, roles, texts of rows with these that come in order; fragments may cross batches."""
+    key, states, roles, texts = None, None, [], []
     for batch in batches:
-        for conv, part, role, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if (conv, part) != key:
+        columns = [batch.column(i).to_pylist() for i in range(7)]
+        for none, conv, fragment, entry, exit_, role, text in zip(*columns):
+            if (none, conv, fragment) != key:
                 if key is not None:
-                    yield *key, roles, texts
-                key, roles, texts = (conv, part), [], []
+                    yield key, states, roles, texts
+                key, states, roles, texts = (none, conv, fragment), (entry, exit_), [], []
             roles.append(_role(role))
             texts.append(text)
     if key is not None:
-        yield *key, roles, texts
+        yield key, states, roles, texts
 
 
 def _matrices(costs: Costs):
+    """The least costs between states over each fragment, as 16 numbers."""
     def run(batches):
-        for conv, part, roles, _ in _fragments(batches):
+        for (none, conv, fragment), _, roles, _ in _fragments(batches):
             cells = [c for s in range(4) for c in forward(roles, _only(s), costs)[0]]
-            yield pa.RecordBatch.from_arrays([pa.array([conv], pa.string()), pa.array([part], pa.int32()), pa.array([cells], pa.list_(pa.int64()))], ["conv", "part", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array([none]), pa.array([conv], pa.string()), pa.array([fragment], pa.int64()), pa.array([cells], pa.list_(pa.int64()))], ["none", "conv", "nth", "cells"])
 
     return run
 
 
-def _chained(found: list, costs: Costs) -> dict:
-    """(conversation, part): (entry, exit or None, number of the fragment) by the least total cost."""
-    by: dict[str | None, list] = {}
-    for r in sorted(found, key=lambda r: r["part"]):
-        by.setdefault(r["conv"], []).append(r)
-    out = {}
-    for conv, rows in by.items():
-        cost, backs = _only(START), []
-        for r in rows:
-            cells = [r["cells"][4 * s:4 * s + 4] for s in range(4)]
-            backs.append([min(range(4), key=lambda s: (cost[s] + cells[s][t], s)) for t in range(4)])
-            cost = [min(min(cost[s] + cells[s][t] for s in range(4)), FAR) for t in range(4)]
-        state = min(range(4), key=lambda s: (cost[s] + _ending(costs)[s][0], s))
-        for i in range(len(rows) - 1, -1, -1):
-            before = backs[i][state]
-            out[conv, rows[i]["part"]] = before, (None if i == len(rows) - 1 else state), i
-            state = before
-    return out
+def _times(one: list[int], two: list[int]) -> list[int]:
+    return [min(min(one[4 * s + k] + two[4 * k + t] for k in range(4)), FAR) for s in range(4) for t in range(4)]
 
 
-SCHEMA = "conv string, fragment int, cost long, n_in long, n_out long, n_merged long, n_relabelled long, n_inserted long, roles string, rendered string"
+def chain(cells: list[list[int]], costs: Costs, entry: int = START, exit_: int | None = None) -> list[tuple[int, int | None]]:
+    """Entry and exit state of each matrix in a row of them, by the least total cost; the last exit is None where the conversation ends."""
+    cost, backs = _only(entry), []
+    for c in cells:
+        backs.append([min(range(4), key=lambda s: (cost[s] + c[4 * s + t], s)) for t in range(4)])
+        cost = [min(min(cost[s] + c[4 * s + t] for s in range(4)), FAR) for t in range(4)]
+    state = min(range(4), key=lambda s: (cost[s] + _ending(costs)[s][0], s)) if exit_ is None else exit_
+    out: list[tuple[int, int | None]] = []
+    for i in range(len(cells) - 1, -1, -1):
+        before = backs[i][state]
+        out.append((before, exit_ if i == len(cells) - 1 else state))
+        state = before
+    return out[::-1]
+
+
+def _each(act, names: list[str], kinds: list):
+    """Runs act on every row, as a dict; it gives rows of these columns."""
+    def run(batches):
+        for batch in batches:
+            rows = [x for i in range(batch.num_rows) for x in act(batch.slice(i, 1).to_pylist()[0])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+    return run
+
+
+KEY = ["none", "conv"]
+
 
+def _states(matrices: DataFrame, costs: Costs) -> DataFrame:
+    """KEY, fragment, entry and exit of the fragments of matrices (KEY, nth, cells)."""
+    runs = matrices.withColumn("run", F.floor(F.col("nth") / GROUP)).groupBy(*KEY, "run").agg(F.array_sort(F.collect_list(F.struct("nth", "cells"))).alias("of"))
+    runs, _ = materialize(runs, "runs")
+    whole = [pa.bool_(), pa.string(), pa.int64()]
+    products = runs.select(*KEY, "run", F.col("of.cells").alias("cells")).mapInArrow(
+        _each(lambda r: [(r["none"], r["conv"], r["run"], reduce(_times, r["cells"]))], [*KEY, "run", "cells"], [*whole, pa.list_(pa.int64())]), "none boolean, conv string, run long, cells array<long>")
+    of = products.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("run", "cells"))).alias("of"))
 
-def format_chats(df: DataFrame, costs: Costs = Costs(), template: Template = Template(), partitions: int | None = None, long: int = LONG,
+    def outer(r):
+        return [(r["none"], r["conv"], x["run"], *ends) for x, ends in zip(r["of"], chain([x["cells"] for x in r["of"]], costs))]
+
+    def inner(r):
+        return [(r["none"], r["conv"], x["nth"], *ends) for x, ends in zip(r["of"], chain([x["cells"] for x in r["of"]], costs, r["entry"], r["exit"]))]
+
+    ends = of.mapInArrow(_each(outer, [*KEY, "run", "entry", "exit"], [*whole, pa.int32(), pa.int32()]), "none boolean, conv string, run long, entry int, exit int")
+    return runs.join(ends, [*KEY, "run"]).mapInArrow(_each(inner, [*KEY, "fragment", "entry", "exit"], [*whole, pa.int32(), pa.int32()]), "none boolean, conv string, fragment long, entry int, exit int")
+
+
+def _long_turns(turns: DataFrame, long: DataFrame, n: int, per: int) -> DataFrame:
+    """The turns of the long conversations with their fragments: turns are range-partitioned, and counts of the parts tell a turn's number."""
+    ordered = turns.join(long, KEY).repartitionByRange(n, *KEY, "turn", "h").sortWithinPartitions(*KEY, "turn", "h")
+    ordered, _ = materialize(ordered.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "long")
+    parts = ordered.groupBy(*KEY, "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*KEY).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*KEY, "part", (before - F.col("first")).alias("shift"))
+    nth = F.col("at") + F.col("shift")
+    return ordered.join(parts, [*KEY, "part"]).withColumn("fragment", F.floor(nth / per).cast("long")).withColumn("nth", nth).select(*KEY, "fragment", "nth", "turn", "h", "role", "text")
+
+
+SCHEMA = "conv string, fragment long, cost long, n_in long, n_out long, n_merged long, n_relabelled long, n_inserted long, roles string, rendered string"
+
+
+@owner
+def format_chats(df: DataFrame, costs: Costs = Costs(), template: Template = Template(), partitions: int | None = None, per: int = FRAGMENT,
                  conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per conversation (per fragment of one of more than `long` turns): conv_id, fragment, the repair's figures, roles, rendered.
+    """A row for every `per` turns of a conversation: conv_id, fragment (from 0), the repair's figures, roles, rendered; no other columns.
 
-    A conversation's rendering is that of its fragments by number, joined. Turns go by turn_col, nulls first, then by role and text.
-    A null id is a conversation of its own; roles count without case and outer blanks, and a null or unknown one is relabelled at cost; null texts
-    are empty turns. The fragments' costs add up to the conversation's. An empty table gives no rows. Repeated turns are turns of their own.
+    A conversation's rendering is that of its fragments by number, joined, and its cost the sum of theirs. Turns go by turn_col, nulls first,
+    and those that tie by a hash of role and text. A null id is a conversation of its own; roles count without case and outer blanks, and a null or unknown one is relabelled at cost; null texts
+    are empty turns. An empty table gives no rows. Repeated turns are turns of their own. One text is never cut.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = df.schema[conv_col].dataType
-    turns = df.select(F.col(f"`{conv_col}`").alias("id"), F.col(f"`{conv_col}`").cast("string").alias("conv"), F.col(f"`{turn_col}`").alias("turn"), F.col(f"`{role_col}`").cast("string").alias("role"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    conv = F.col(f"`{conv_col}`").cast("string")
+    turns = df.select(conv.isNull().alias("none"), F.coalesce(conv, F.lit("")).alias("conv"), F.col(f"`{turn_col}`").alias("turn"), F.col(f"`{role_col}`").cast("string").alias("role"), F.col(f"`{text_col}`").cast("string").alias("text"))
     turns = turns.withColumn("h", F.xxhash64("role", "text"))
-    counts, _ = materialize(turns.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > long).select(F.col("conv").alias("long_conv"), F.lit(True).alias("is_long")), "long")
-    if many := counts.count():
-        counts = F.broadcast(counts) if many <= MAX_BROADCAST_IDS else counts
-        turns = turns.join(counts, turns["conv"].eqNullSafe(counts["long_conv"]), "left").drop("long_conv")
-    else:
-        turns = turns.withColumn("is_long", F.lit(None).cast("boolean"))
-    # the turns of a short conversation have one key, so they stay together
-    cut = turns.repartitionByRange(n, "id", F.when(F.col("is_long"), F.col("turn")), F.when(F.col("is_long"), F.col("h"))).sortWithinPartitions("id", "turn", "h").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
-    cut, _ = materialize(cut.select("conv", "part", "role", "text", "at"), "turns")
-    # a conversation crosses an edge once for each part's edge at most, so these are fewer than the parts
-    crossing = cut.groupBy("conv").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("conv")
-    crossing, _ = materialize(crossing, "crossing")
-    edge = cut.join(F.broadcast(crossing), cut["conv"].eqNullSafe(crossing["conv"]), "left_semi")
-    in_order = lambda d, cols: d.repartition(n, "part").sortWithinPartitions("part", "at").select(*cols)
-    ends = in_order(edge.withColumn("text", F.lit(None).cast("string")), ["conv", "part", "role", "text"]).mapInArrow(_matrices(costs), "conv string, part int, cells array<long>").collect()
-    states = spark.sparkContext.broadcast(_chained(ends, costs))
+    long, _ = materialize(turns.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > per).select(*KEY), "long")
+    none = F.lit(None).cast("int")
+    rows = turns.select(*KEY, F.lit(0).cast("long").alias("fragment"), none.alias("entry"), none.alias("exit"), "role", "text", F.lit(0).cast("long").alias("nth"), "turn", "h")
+    columns = [*KEY, "fragment", "entry", "exit", "role", "text"]
+
+    def in_order(of: DataFrame) -> DataFrame:
+        return of.repartition(n, *KEY, "fragment").sortWithinPartitions(*KEY, "fragment", "nth", "turn", "h").select(*columns)
+
+    if many := long.count():
+        small = F.broadcast(long) if many <= MAX_BROADCAST_IDS else long
+        cut = _long_turns(turns, small, n, per)
+        blank = cut.select(*KEY, "fragment", none.alias("entry"), none.alias("exit"), "role", F.lit(None).cast("string").alias("text"), "nth", "turn", "h")
+        matrices = in_order(blank).mapInArrow(_matrices(costs), "none boolean, conv string, nth long, cells array<long>")
+        states, _ = materialize(_states(matrices, costs), "states")
+        states = F.broadcast(states) if states.count() <= MAX_BROADCAST_IDS else states
+        rows = rows.join(small, KEY, "left_anti").unionByName(cut.join(states, [*KEY, "fragment"]).select(*rows.columns))
 
     def run(batches):
-        known, names = states.value, [f.split()[0] for f in SCHEMA.split(", ")]
+        names = [f.split()[0] for f in SCHEMA.split(", ")]
         held: list[dict] = []
         size = 0
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array([h[k] for h in held], pa.string() if k in ("conv", "roles", "rendered") else pa.int32() if k == "fragment" else pa.int64()) for k in names], names)
+            return pa.RecordBatch.from_arrays([pa.array([h[k] for h in held], pa.string() if k in ("conv", "roles", "rendered") else pa.int64()) for k in names], names)
 
-        for conv, part, roles, texts in _fragments(batches):
-            entry, exit_, i = known.get((conv, part), (START, None, 0))
-            held.append({"conv": conv, "fragment": i, **render(roles, texts, costs, template, entry, exit_, i == 0)})
+        for (none, conv, fragment), (entry, exit_), roles, texts in _fragments(batches):
+            held.append({"conv": None if none else conv, "fragment": fragment, **render(roles, texts, costs, template, entry or START, exit_, fragment == 0)})
             size += len(held[-1]["rendered"])
             if size > 4_000_000 or len(held) >= 5000:
                 yield flush()
@@ -236,8 +283,8 @@ def format_chats(df: DataFrame, costs: Costs = Costs(), template: Template = Tem
         if held:
             yield flush()
 
-    done = in_order(cut, ["conv", "part", "role", "text"]).mapInArrow(run, SCHEMA)
-    return done.select(F.col("conv").cast(kind).alias(conv_col), *[c for c in done.columns if c != "conv"])
+    done = in_order(rows).mapInArrow(run, SCHEMA)
+    return done.select(F.col("conv").cast(kind).alias(conv_col), F.col("fragment").cast("int").alias("fragment"), *[c for c in done.columns if c not in ("conv", "fragment")])
 
 
 def digest(conversations: DataFrame) -> DataFrame:

@@ -49,25 +49,40 @@ def test_least_cost_over_all_repairs():
 
 
 @pytest.mark.parametrize("partitions", [1, 5])
-def test_fragments_add_up_to_the_whole(spark, partitions):
+def test_fragments_add_up_to_the_whole(spark, monkeypatch, partitions):
+    monkeypatch.setattr(chat, "GROUP", 2)
     r = random.Random(4)
     rows, whole = [], {}
     for conv in range(30):
-        n = 120 if conv == 7 else r.randint(1, 6)
+        n = {7: 121, 8: 20, 9: 21, 10: 40}.get(conv) or r.randint(1, 6)
         names = [r.choice(["system", "user", "assistant", "tool", None, " User "]) for _ in range(n)]
         texts = [r.choice(["hi", "", None, "long " * 20]) for _ in range(n)]
         rows += [(conv, t, name, text) for t, (name, text) in enumerate(zip(names, texts))]
-        whole[conv] = chat.render([chat._role(x) for x in names], texts, COSTS, chat.Template())
+        whole[conv] = (n, chat.render([chat._role(x) for x in names], texts, COSTS, chat.Template()))
     r.shuffle(rows)
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {}
-    for row in sorted(chat.format_chats(df, partitions=partitions, long=20).collect(), key=lambda x: (x["conv_id"], x["fragment"])):
-        cost, text = got.get(row["conv_id"], (0, ""))
-        got[row["conv_id"]] = cost + row["cost"], text + row["rendered"]
-    assert {k: v[0] for k, v in got.items()} == {k: v["cost"] for k, v in whole.items()}
-    assert all(text.count("<|end|>") == text.count("<|user|>") + text.count("<|assistant|>") + text.count("<|system|>") for _, text in got.values())
-    if partitions == 1:
-        assert {k: v[1] for k, v in got.items()} == {k: v["rendered"] for k, v in whole.items()}
+    for row in sorted(chat.format_chats(df, partitions=partitions, per=20).collect(), key=lambda x: (x["conv_id"], x["fragment"])):
+        got.setdefault(row["conv_id"], []).append(row)
+    for conv, (n, want) in whole.items():
+        own = got[conv]
+        assert [x["fragment"] for x in own] == list(range(-(-n // 20))) and [x["n_in"] for x in own] == [min(20, n - 20 * k) for k in range(-(-n // 20))]
+        assert sum(x["cost"] for x in own) == want["cost"] and legal(" ".join(x["roles"] for x in own if x["roles"]).split())
+        text = "".join(x["rendered"] for x in own)
+        assert text.count("<|end|>") == sum(x["n_out"] for x in own) == text.count("<|user|>") + text.count("<|assistant|>") + text.count("<|system|>")
+        if n <= 20:
+            assert text == want["rendered"]
+
+
+def test_chained_states_cost_what_the_whole_costs():
+    r = random.Random(9)
+    for _ in range(40):
+        roles = [r.randrange(4) for _ in range(r.randint(2, 30))]
+        cuts = sorted({0, *(r.randrange(len(roles)) for _ in range(4))})
+        pieces = [roles[a:b] for a, b in zip(cuts, [*cuts[1:], len(roles)])]
+        cells = [[c for s in range(4) for c in chat.forward(p, chat._only(s), COSTS)[0]] for p in pieces]
+        ends = chat.chain(cells, COSTS)
+        assert sum(chat.solve(p, COSTS, *e)[0] for p, e in zip(pieces, ends)) == chat.solve(roles, COSTS)[0]
 
 
 def test_empty_null_and_extra_columns(spark):
