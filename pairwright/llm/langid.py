@@ -2,8 +2,9 @@
 
 For each language a suffix automaton of sample text (letters lower-cased, all else a space,
 as bytes) is built on the driver. A text is parsed greedily into the longest phrases that the sample holds; the
-language with the fewest phrases for the text's length wins. The automata are flat transition tables, so that many segments of
-texts are parsed in step, one table look-up a byte and language.
+language with the fewest phrases for the text's length wins. The automata are flat transition tables. Texts are cut into
+segments that are parsed in step, one table look-up a byte and language; where a segment's parse began amid a phrase,
+its first phrases are then parsed again from the state in which the segment before it ended, so that counts are those of whole texts.
 """
 
 from __future__ import annotations
@@ -13,17 +14,16 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.window import Window
 
 from . import bytescan as B
 from .storage import without
 
-#: Sample bytes per language, and the sampled rows they are taken from.
-SAMPLE_BYTES = 24_000
-SAMPLE_ROWS = 200
-#: A segment of a text is parsed by itself; a phrase ends where its segment does.
+#: Rows of each language that may be learned from, and the bytes that they may have together; a row is learned whole or not at all.
+SAMPLE_ROWS, SAMPLE_BYTES = 64, 32_000
+#: Bytes of a text that are parsed in step with other texts' bytes.
 SEGMENT = 1024
-#: Languages sampled in one pass over the rows, and bytes of transition tables held at a time.
-LANGUAGES_A_PASS = 64
+#: Bytes of transition tables held at a time.
 TABLE_BYTES = 128 << 20
 
 
@@ -32,17 +32,26 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.encode(F.col(f"`{id_col}`").cast("string"), "UTF-8")) % 5 == 0, F.lit(True))
 
 
-def sample_rows(df: DataFrame, group_col: str, n: int, id_col: str = "doc_id", max_groups: int = 64, seed: int = 7, counts: list | None = None) -> DataFrame:
-    """About 2 n rows of each of the most frequent groups, or of those of counts, chosen by a seeded hash of the id.
+def sample_rows(df: DataFrame, rows: int, max_bytes: int, seed: int = 7) -> list[tuple]:
+    """(group, text) of at most `rows` rows of each group of df (group, id, text), whole texts of max_bytes together at most.
 
-    A group's rows pass with probability 2 n / its count, so nothing is sorted or gathered by group.
+    Rows come in the order of a seeded hash of id and text, such as are longer than max_bytes last and then by length; a group of
+    none but those gives its shortest one. Each partition sends `rows` keys of a group at most; texts are read in a second pass.
     """
-    if counts is None:
-        counts = df.groupBy(group_col).count().orderBy(F.desc("count"), group_col).limit(max_groups).collect()
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(group_col) == F.lit(r[group_col]), F.lit(min(1.0, 2.0 * n / r["count"]))).otherwise(share)
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) < share * (1 << 30)).limit(4 * n * max(max_groups, len(counts)))
+    own = df.where("group is not null and text is not null").withColumn("h", F.xxhash64(F.lit(seed), "id", "text")).withColumn("size", F.octet_length("text"))
+    order = Window.partitionBy("group").orderBy(F.greatest(F.col("size") - max_bytes, F.lit(0)), "h")
+    keys = own.select("group", "h", "size").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rows).collect()
+    chosen, used = {}, {}
+    for k in sorted(keys, key=lambda k: k["nth"]):
+        if k["group"] not in used or used[k["group"]] + k["size"] <= max_bytes:
+            if (k["group"], k["h"]) not in chosen:
+                used[k["group"]] = used.get(k["group"], 0) + k["size"]
+                chosen[k["group"], k["h"]] = k["nth"]
+    if not chosen:
+        return []
+    picked = df.sparkSession.createDataFrame(list(chosen), T.StructType([T.StructField("group", df.schema["group"].dataType), T.StructField("h", T.LongType())]))
+    texts = own.join(F.broadcast(picked), ["group", "h"]).groupBy("group", "h").agg(F.min("text").alias("text")).collect()  # rows keys a group at most
+    return [(r["group"], r["text"]) for r in sorted(texts, key=lambda r: chosen[r["group"], r["h"]])]
 
 
 #: Bytes as they are parsed: A-Z in lower case, all other ASCII but letters a space.
@@ -149,7 +158,7 @@ class Model:
         return out
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Phrases of each text, one column a language."""
+        """Phrases of each whole text, one column a language."""
         size = np.diff(offsets)
         pieces = -(-size // SEGMENT)
         doc = np.repeat(np.arange(len(size)), pieces)
@@ -157,25 +166,63 @@ class Model:
         starts = offsets[:-1][doc] + nth * SEGMENT
         lengths = np.minimum(SEGMENT, offsets[1:][doc] - starts)
         order = np.argsort(-lengths, kind="stable")
-        starts, lengths = starts[order], lengths[order]
+        falling, first = lengths[order], starts[order]
         symbols = self.symbol[data]
-        active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(SEGMENT), side="right")
+        active = len(lengths) - np.searchsorted(falling[::-1], np.arange(SEGMENT), side="right")
         out = np.zeros((len(size), len(self.languages)), np.int64)
         for block in self.blocks:
             tables = self.tables(block)
             state = [np.zeros(len(starts), np.int32) for _ in tables]
             begun = [np.zeros(len(starts), np.int32) for _ in tables]
-            for t in range(int(lengths[0]) if len(lengths) else 0):
+            for t in range(int(falling[0]) if len(falling) else 0):
                 n = active[t]
-                here = symbols[starts[:n] + t]
+                here = symbols[first[:n] + t]
                 for k, table in enumerate(tables):
                     got = table[state[k][:n] + here]
                     begun[k][:n] += got & 1
                     np.right_shift(got, 1, out=state[k][:n])
-            for k, counted in zip(block, begun):
-                out[:, k] = np.bincount(doc[order], weights=counted, minlength=len(size))
+            for k, lang in enumerate(block):
+                ended, counted = np.empty_like(state[k]), np.empty_like(begun[k])
+                ended[order], counted[order] = state[k], begun[k]
+                counted += self._carried(tables[k], symbols, starts, lengths, nth, ended)
+                out[:, lang] = np.bincount(doc, weights=counted, minlength=len(size))
         return out
 
+    @staticmethod
+    def _carried(table: np.ndarray, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, nth: np.ndarray, ended: np.ndarray) -> np.ndarray:
+        """What to add to each segment's phrases, counted from the root, to have those of the parse that runs on from the segment before.
+
+        ended: the state at each segment's end when parsed from the root. Two parses that reach one state are one from there
+        on, mostly after a phrase or two; where they do not meet within a segment, the next one is parsed again from its true state.
+        """
+        own, more = ended.copy(), np.zeros(len(starts), np.int64)
+        todo = np.flatnonzero(nth > 0)
+        while len(todo):
+            lane, true, root = np.arange(len(todo)), ended[todo - 1], np.zeros(len(todo), np.int32)
+            final, diff = own[todo], np.zeros(len(todo), np.int64)
+            for t in range(int(lengths[todo].max())):
+                if t % 8 == 0:
+                    lane_open = true != root
+                    lane, true, root = lane[lane_open], true[lane_open], root[lane_open]
+                    if not len(lane):
+                        break
+                over = lengths[todo[lane]] <= t
+                if over.any():
+                    final[lane[over]] = true[over]
+                    lane, true, root = lane[~over], true[~over], root[~over]
+                here = symbols[starts[todo[lane]] + t]
+                one, two = table[true + here], table[root + here]
+                diff[lane] += (one & 1) - (two & 1)
+                true, root = one >> 1, two >> 1
+            final[lane] = true
+            more[todo] = diff
+            changed = todo[final != ended[todo]]
+            ended[todo] = final
+            after = changed + 1
+            after = after[after < len(starts)]
+            todo = after[nth[after] > 0]
+        return more
+
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and bits a byte of each text.
 
@@ -205,27 +252,18 @@ class Model:
         return [self.languages[b] if ok else "und" for b, ok in zip(best, named)], score, low
 
 
-def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """A model of all languages of the rows that are not held out, from about 2 SAMPLE_ROWS rows each.
+def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model of all languages of the rows that are not held out, from whole texts of at most `rows` rows and sample_bytes each.
 
-    Rows are read once for each LANGUAGES_A_PASS languages, so that what the driver takes in at a time is bounded.
-    Rows without text or language teach nothing. Of a sampled text at most 2,000 characters from its middle are
-    learned, so that one long text does not fill a sample. Without labelled rows the model knows no language.
+    A language all of whose rows are longer is learned from its shortest one. Rows without text or language teach nothing; without
+    labelled rows the model knows no language.
     """
-    rows = df.where(~held_out(id_col) & F.col(text_col).isNotNull() & (F.length(text_col) > 0) & F.col(lang_col).isNotNull())
-    rows = rows.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    cut = 2000
-    middle = F.greatest(F.lit(1), ((F.length("text") - cut) / 2).cast("int"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
-    samples: dict[str, bytes] = {}
-    for at in range(0, len(counts), LANGUAGES_A_PASS):
-        sampled = sample_rows(rows, "lang", SAMPLE_ROWS, counts=counts[at:at + LANGUAGES_A_PASS])
-        got = sampled.select("lang", F.xxhash64(F.lit(11), "doc_id").alias("h"), F.expr("text").substr(middle, F.lit(cut)).alias("text")).collect()
-        for r in sorted(got, key=lambda r: (r["h"], r["text"])):
-            have = samples.get(r["lang"], b"")
-            if len(have) < sample_bytes:
-                samples[r["lang"]] = (have + b"\n" + r["text"].encode())[:sample_bytes]
-    return Model(samples)
+    own = df.where(~held_out(id_col) & (F.length(F.col(f"`{text_col}`")) > 0))
+    own = own.select(F.col(f"`{lang_col}`").cast("string").alias("group"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    samples: dict[str, list[bytes]] = {}
+    for lang, text in sample_rows(own, rows, sample_bytes):
+        samples.setdefault(lang, []).append(text.encode())
+    return Model({lang: b"\n".join(texts) for lang, texts in samples.items()})
 
 
 FIELDS = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("bits_per_byte", T.DoubleType())]
@@ -240,7 +278,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", returned: list
     returned = [c for c in (returned or df.columns) if c in df.columns]
     columns = list(dict.fromkeys([*returned, text_col]))
     fields = [df.schema[c] for c in returned] + [T.StructField(*f) for f in FIELDS]
-    shared = df.sparkSession.sparkContext.broadcast(model)  # less than 1 MB a language, bounded by SAMPLE_BYTES
+    shared = df.sparkSession.sparkContext.broadcast(model)  # about 1 MB a language, bounded by the sample's bytes
 
     def run(batches):
         known = shared.value

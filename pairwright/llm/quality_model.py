@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.window import Window
 
 from . import bytescan as B
 from .langid import held_out, sample_rows
@@ -21,10 +22,10 @@ EMBED, FILTERS = 8, 16
 STRIDE, KERNEL = 4, 8
 #: Positions in a block; a chunk is CHUNK blocks, and chunks begin STEP blocks apart.
 BLOCK, CHUNK, STEP = 32, 4, 3
-#: Labelled documents to learn from, of each label, and passes over them.
-SAMPLE_ROWS, EPOCHS, BATCH = 800, 8, 32
-#: Characters of one document to learn from; scores take whole documents.
-LEARN_CHARS = 8000
+#: Labelled documents to learn from, of each label, the bytes they may have together, and passes over them; documents are learned whole.
+SAMPLE_ROWS, SAMPLE_BYTES, EPOCHS = 800, 4_000_000, 8
+#: Documents and bytes in a training batch; a longer document is a batch of its own.
+BATCH, BATCH_BYTES = 32, 200_000
 
 
 @dataclass
@@ -120,6 +121,17 @@ def _gradients(net: Net, kept, error: np.ndarray) -> Net:
     return Net(d_embed, d_left, d_right, np.bincount(f, weights=g, minlength=FILTERS).astype(np.float32), error @ features, np.array([error.sum()]))
 
 
+def _batches(order: np.ndarray, size: np.ndarray):
+    held: list[int] = []
+    for k in order.tolist():
+        if held and (len(held) == BATCH or size[held].sum() + size[k] > BATCH_BYTES):
+            yield np.array(held)
+            held = []
+        held.append(k)
+    if held:
+        yield np.array(held)
+
+
 def train(texts: list[str], labels: list[int], seed: int = 3) -> Net:
     """Fit a net by Adam on shuffled batches; the labels weigh alike. One label alone fixes the bias only."""
     net, r = _fresh(seed), np.random.default_rng(seed)
@@ -128,13 +140,12 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Net:
         net.out[:] = 0
         net.shift[0] = 0 if not len(y) else (4 if y[0] else -4)
         return net
+    size = np.array([len(t.encode()) for t in texts])
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     names = ("embed", "left", "right", "bias", "out", "shift")
     one, two, t = {k: 0.0 for k in names}, {k: 0.0 for k in names}, 0
     for epoch in range(EPOCHS):
-        order = r.permutation(len(y))
-        for i in range(0, len(order), BATCH):
-            pick = order[i:i + BATCH]
+        for pick in _batches(r.permutation(len(y)), size):
             p, kept = _forward(net, *B.buffer_of(pa.array([texts[k] for k in pick], pa.string())))
             grad = _gradients(net, kept, ((p - y[pick]) * weight[pick] / len(pick)).astype(np.float32))
             t += 1
@@ -147,17 +158,17 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Net:
     return net
 
 
-def learn(df: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> Net:
-    """A net fit to about rows documents of each label, of the ids that are not held out.
+def learn(df: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id", rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Net:
+    """A net fit to whole texts of at most `rows` documents and sample_bytes of each label, of ids that are not held out.
 
-    Documents without label or text teach nothing; labels of one id that differ are one document each.
+    Documents without label or text teach nothing; an id's texts, and its labels if they differ, are one document each.
     """
-    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    chosen = sample_rows(marked, "label", rows, max_groups=2, seed=13)  # at most 16 rows x SAMPLE_ROWS
-    own = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.substring(F.col(text_col), 1, LEARN_CHARS).alias("text"))
-    got = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").limit(8 * rows).collect()
-    got = sorted(got, key=lambda r: (r["doc_id"], r["label"], r["text"]))
-    return train([r["text"] for r in got], [r["label"] for r in got])
+    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("group"))
+    order = Window.partitionBy("group").orderBy(F.xxhash64(F.lit(13), "id"), "id")
+    chosen = marked.distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rows).select("id", "group")
+    texts = df.where(F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    got = sample_rows(texts.join(F.broadcast(chosen), "id"), rows, sample_bytes, 13)  # rows a label at most are broadcast
+    return train([text for _, text in got], [label for label, _ in got])
 
 
 FIELDS = [("score", T.DoubleType()), ("predicted", T.IntegerType())]
@@ -166,7 +177,8 @@ FIELDS = [("score", T.DoubleType()), ("predicted", T.IntegerType())]
 def score(df: DataFrame, net: Net, threshold: float = 0.3, text_col: str = "text", returned: list[str] | None = None) -> DataFrame:
     """The returned columns of df (default: all) with FIELDS; input columns named like those are replaced.
 
-    Whole texts, each by itself; null and empty ones get the score of an empty text. predicted: 1 from threshold on.
+    Whole texts of any length, each by itself, so copies score alike and scores that tie are equal; null and empty texts get the
+    score of an empty text, an empty table gives no rows. predicted: 1 from threshold on.
     """
     df = without(df, [name for name, _ in FIELDS])
     returned = [c for c in (returned or df.columns) if c in df.columns]
