@@ -1,9 +1,8 @@
 """Quality rules: counts per text, and divergence of its histograms from its language's.
 
 References are one character-class histogram and one common-word histogram for each
-language, counted over every labelled row. A common word is one of at most
-MAX_WORD_BYTES bytes that makes up at least `share` of its language's words, so
-there are at most 1 / share of them.
+language, counted over every labelled row. A common word is one that makes up at least `share` of its language's words, so
+there are at most 1 / share of them; words are lower-cased (A-Z) and known by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from . import bytescan as B
 from .storage import discard, materialize, without
 
-MAX_WORD_BYTES = 6
 SYMBOLS = b"#*$%&|<>"
 #: Character classes, by byte; bytes that go on a code point count nothing.
 CLASSES = ["lower", "upper", "digit", "space", "mark", "symbol", "other", "wide"]
@@ -56,17 +54,9 @@ def _byte_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _short_words(words: B.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the words of at most MAX_WORD_BYTES bytes, and their lower-cased bytes as integers."""
-    size = words.ends - words.starts
-    which = np.flatnonzero(size <= MAX_WORD_BYTES)
-    size, starts = size[which], words.starts[which]
-    value = np.zeros(len(which), np.int64)
-    low = B.LOWER[words.data]
-    for k in range(MAX_WORD_BYTES):
-        here = k < size
-        value = np.where(here, value * 256 + low[np.minimum(starts + k, len(low) - 1)], value)
-    return which, value
+def _word_keys(words: B.Words) -> np.ndarray:
+    """A 64-bit key of each word, without case of A-Z."""
+    return B.span_hashes(B.LOWER[words.data], words.starts, words.ends).view(np.int64)
 
 
 def _count_references(batches):
@@ -91,8 +81,7 @@ def _count_references(batches):
         words = B.Words(data, offsets)
         counts = _byte_counts(data, offsets) @ table
         langs, at = np.unique(np.array(batch.column(0).to_pylist(), dtype=object).astype(str), return_inverse=True)
-        which, value = _short_words(words)
-        of_word = np.repeat(at, words.counts)[which] if len(which) else np.zeros(0, np.int64)
+        value, of_word = _word_keys(words), np.repeat(at, words.counts)
         for k, lang in enumerate(langs):
             add(str(lang), "class", np.arange(len(CLASSES)), counts[at == k].sum(axis=0).astype(np.int64))
             add(str(lang), "words", np.zeros(1, np.int64), np.array([words.counts[at == k].sum()]))
@@ -103,18 +92,18 @@ def _count_references(batches):
     yield from flush()
 
 
-def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang", share: float = 0.004, max_languages: int = 256) -> dict:
+def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang", share: float = 0.004) -> dict:
     """{language: (class histogram, common words, their histogram with all others last)}.
 
-    Counted over all rows with text and language; of more than max_languages languages the
-    ones with the most words count. No labelled text: no references, and nothing diverges.
+    Counted over all rows with text and language, all languages and all words; 1 / share words and a few numbers of each language
+    come to the driver. No labelled text: no references, and nothing diverges.
     """
     rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     counted = rows.mapInArrow(_count_references, "lang string, kind string, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     counted, path = materialize(counted, "references")
-    totals = counted.where("kind = 'words' and n > 0").orderBy(F.desc("n"), "lang").limit(max_languages).select("lang", F.col("n").alias("total"))
+    totals = counted.where("kind = 'words' and n > 0").select("lang", F.col("n").alias("total"))
     total = {r["lang"]: r["total"] for r in totals.collect()}
-    kept = counted.join(F.broadcast(totals), "lang").where((F.col("kind") == "class") | ((F.col("kind") == "word") & (F.col("n") >= share * F.col("total"))))
+    kept = counted.join(totals, "lang").where((F.col("kind") == "class") | ((F.col("kind") == "word") & (F.col("n") >= share * F.col("total"))))
     found: dict[str, dict[str, dict[int, int]]] = {}
     for r in kept.select("lang", "kind", "key", "n").collect():
         found.setdefault(r["lang"], {"class": {}, "word": {}})[r["kind"]][r["key"]] = r["n"]
@@ -193,8 +182,7 @@ def measure(texts: pa.Array, refs: dict, max_class: float, max_word: float, min_
     long_enough = (chars >= min_chars) & (n_words >= min_words)
     best = np.full(n, np.inf)
     class_d, word_d, near = np.zeros(n), np.zeros(n), np.full(n, -1)
-    which, value = _short_words(words)
-    doc = np.repeat(np.arange(n), words.counts)[which] if len(which) else np.zeros(0, np.int64)
+    value, doc = _word_keys(words), np.repeat(np.arange(n), words.counts)
     names = list(refs)
     for k, lang in enumerate(names):
         ref_class, keys, ref_words = refs[lang]
