@@ -98,6 +98,34 @@ def test_cross_parsing_against_longest_matches():
             assert got[i, k] == phrases_by_hand(sample, bytes(data[offsets[i]:offsets[i + 1]])), (name, texts[i])
 
 
+def test_phrases_go_over_segments():
+    """Texts of many segments: one substring of the sample, prose, and strings on which parses never meet."""
+    import random
+
+    r = random.Random(12)
+    samples = {k: sentence(r, k, 700).encode() for k in ("en", "de")} | {"aa": b"a" * 3000 + b"b" * 40}
+    model = langid.Model(samples)
+    one = samples["en"][100:2740].decode()
+    texts = [one, one * 2, sentence(r, "de", 900), "a" * 5000, "ab" * 2100, "a" * 1500 + "b" + "a" * 2600, sentence(r, "fr", 400) + one[:1200], "x" * 2049, one[:1024], one[:1025]]
+    data, offsets = langid.plain(*langid.B.buffer_of(pa.array(texts)))
+    got = model.phrases(data, offsets)
+    for k, name in enumerate(model.languages):
+        sample = bytes(langid.plain(langid.np.frombuffer(samples[name], langid.np.uint8), langid.np.array([0, len(samples[name])]))[0])
+        for i in range(len(texts)):
+            assert got[i, k] == phrases_by_hand(sample, bytes(data[offsets[i]:offsets[i + 1]])), (name, i)
+    assert got[0, model.languages.index("en")] == 1
+
+
+def test_rows_are_learned_whole_within_bounds(spark):
+    rows = [(k, f"text {k} " * (1 + k % 7), "a" if k % 3 else "b") for k in range(300)] + [(1000, "long " * 400, "c"), (1001, "longer " * 400, "c"), (None, "x", None), (2, None, "a")] + [(5, "same", "d")] * 500
+    df = spark.createDataFrame(rows, "id long, text string, group string").repartition(5)
+    got = langid.sample_rows(df, 6, 120)
+    texts = {(g, t) for _, t, g in rows}
+    assert set(got) <= texts and got == langid.sample_rows(df.repartition(2), 6, 120)
+    by = {g: [t for h, t in got if h == g] for g in "abcd"}
+    assert all(0 < len(by[g]) <= 6 for g in "abcd") and all(sum(map(len, by[g])) <= 120 for g in "abd") and by["c"] == ["long " * 400] and by["d"] == ["same"]
+
+
 def test_languages_held_out(spark, docs):
     got = langid.digest(docs).collect()
     truth = {r[0]: (r[1], r[2]) for r in corpus()}
@@ -151,6 +179,58 @@ def test_classifier_learns_and_scores_every_text(spark):
     assert got[900].score == got[901].score and got[902].predicted == 1
 
 
+def score_by_hand(net, text):
+    """The network by plain loops over one text's bytes."""
+    import math
+
+    q = quality_model
+    raw = text.encode()
+    unit = q.BLOCK * q.STRIDE
+    blocks = (len(raw) + q.STRIDE + unit - 1) // unit
+    padded = [0] * q.STRIDE + list(raw) + [0] * (blocks * unit - len(raw))
+    tops = []
+    for b in range(blocks):
+        best = [-math.inf] * q.FILTERS
+        for p in range(b * q.BLOCK, (b + 1) * q.BLOCK):
+            seen = padded[p * q.STRIDE:(p + 2) * q.STRIDE]
+            for f in range(q.FILTERS):
+                total = 0.0
+                for k, byte in enumerate(seen):
+                    weights = net.left if k < q.STRIDE else net.right
+                    for e in range(q.EMBED):
+                        total += float(net.embed[byte, e]) * float(weights[k % q.STRIDE * q.EMBED + e, f])
+                best[f] = max(best[f], total)
+        tops.append(best)
+    chunks = []
+    for n in range(max(1, -(-(blocks - q.CHUNK) // q.STEP) + 1)):
+        part = [tops[min(n * q.STEP + k, blocks - 1)] for k in range(q.CHUNK)]
+        chunks.append([max(max(t[f] for t in part) + float(net.bias[f]), 0.0) for f in range(q.FILTERS)])
+    features = [max(c[f] for c in chunks) for f in range(q.FILTERS)] + [sum(c[f] for c in chunks) / len(chunks) for f in range(q.FILTERS)]
+    return 1 / (1 + math.exp(-sum(x * float(w) for x, w in zip(features, net.out)) - float(net.shift[0])))
+
+
+def test_scores_against_plain_loops():
+    import random
+
+    r, net = random.Random(2), quality_model._fresh(5)
+    texts = ["", "x", "Ünï", "a" * 124, "a" * 125, sentence(r, "en", 60), sentence(r, "de", 300)]
+    for at in (texts, texts[::-1]):
+        got = quality_model.probabilities(net, pa.array(at))
+        assert all(abs(p - score_by_hand(net, t)) < 1e-5 for p, t in zip(got, at))
+
+
+def test_training_takes_whole_texts_in_bounded_batches():
+    import numpy as np
+
+    size = np.array([10] * 40 + [300_000] + [90_000] * 3)
+    got = list(quality_model._batches(np.arange(len(size)), size))
+    assert sorted(np.concatenate(got)) == list(range(len(size))) and all(len(b) <= 32 and (len(b) == 1 or size[b].sum() <= 200_000) for b in got)
+    flawed = ["good words here " * 900 + ("### " * 40 if k % 2 else "fine end " * 18) for k in range(40)]
+    net = quality_model.train(flawed, [1 - k % 2 for k in range(40)])
+    p = quality_model.probabilities(net, pa.array(flawed[:8]))
+    assert all((p[k] >= 0.5) == (k % 2 == 0) for k in range(8))
+
+
 def test_classifier_without_labels(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -202,7 +282,7 @@ def test_license_phrases_against_loops(spark):
         assert (r.first_word, r.last_word) == ((min(hits)[0], max(hits)[0]) if hits else (None, None))
         assert r.base_labels == ",".join(sorted({h[1] for h in hits})) and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
         assert 0 <= r.score <= 1
-    assert "apache-2.0" in got[7].labels and got[7].score == 0.95 or got[7].score == 0.9
+    assert "apache-2.0" in got[7].labels and got[7].score == 1.0
     assert got[6].labels == "" and got[6].score == 0
     assert licenses.digest(df.limit(0)).count() == 0
 
@@ -216,9 +296,9 @@ def test_priority_and_containment(spark):
     assert got[1].license_labels == ["short"] and got[1].license_score == 0.5
 
 
-def test_there_are_hundreds_of_rules():
+def test_there_are_hundreds_of_signatures():
     rules = licenses.default_rules()
-    assert len(rules) > 300 and len({r.label for r in rules}) > 40
+    assert len(rules) > 250 and len({r.label for r in rules}) > 120 and len({r.pattern for r in rules if not r.base}) == len([r for r in rules if not r.base])
     for r in rules:
         re.compile(r.pattern)
 
@@ -255,7 +335,7 @@ def alternatives(tree) -> list[str]:
             these = [x for branch in arg[1] for x in alternatives(branch)]
         else:
             assert name in ("MAX_REPEAT", "MIN_REPEAT"), name
-            these = alternatives(arg[2]) + ([""] if arg[0] == 0 else [])
+            these = [x * max(arg[0], 1) for x in alternatives(arg[2])] + ([""] if arg[0] == 0 else [])
         out = [a + b for a, b in product(out, these)]
     return out
 
@@ -265,6 +345,54 @@ def test_every_match_passes_its_prefilter(spark):
         matches = alternatives(re._parser.parse(r.pattern))
         for text in {min(matches, key=len), *matches}:
             assert re.fullmatch(r.pattern, text) and any(" " + k in " " + text for k in r.keyword.split("|")), (r.pattern, text)
-    expected = {"GNU Library General Public License": "lgpl", "Expat License": "mit", "0BSD": "bsd-0-clause", "FreeBSD license": "bsd-2-clause", "zlib/libpng license": "zlib"}
+    expected = {"GNU Library General Public License": "lgpl", "Expat License": "mit", "0BSD": "0bsd", "FreeBSD license": "bsd-2-clause", "zlib/libpng license": "zlib"}
     df = spark.createDataFrame(list(expected.items()), "text string, label string")
     assert all(r.label in r.license_labels for r in licenses.scan(df).collect())
+
+
+def scan_by_hand(text: str, rules) -> tuple[list[tuple], set[str], float]:
+    """All detections, the labels that priority and containment leave, and the score, by plain loops."""
+    word = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words = word.findall(text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    plain = " " + " ".join(words)
+    starts, at = {}, 1
+    for i, w in enumerate(words):
+        starts[at] = i
+        at += len(w) + 1
+    ends = {s + len(words[i]): i for s, i in starts.items()}
+    found = []
+    for r in rules:
+        if any(" " + k in plain for k in r.keyword.split("|")):
+            for m in re.finditer(rf"(?<= )(?:{r.pattern})(?= |$)", plain):
+                found.append((starts[m.start()], ends[m.end()], r.priority, r.label, r.weight, r.base))
+    kept = []
+    for k, (first, last, priority, label, weight, base) in enumerate(found):
+        over = [f for j, f in enumerate(found) if j != k and f[0] <= first and f[1] >= last and f[2] >= priority and (f[:3] != (first, last, priority) or (f[3], f[4], f[5], j) < (label, weight, base, k))]
+        if not over:
+            kept.append((label, weight))
+    return found, {x[0] for x in kept}, max((x[1] for x in kept), default=0.0)
+
+
+def test_an_example_of_every_rule_against_plain_loops(spark):
+    """Each rule's shortest and longest examples, alone and within prose, found as plain Python finds them."""
+    rules = licenses.default_rules()
+    texts = []
+    for r in rules:
+        matches = sorted(set(alternatives(re._parser.parse(r.pattern))), key=lambda t: (len(t), t))
+        texts += [matches[0].upper() if matches[0].isascii() else matches[0], "some words, then: " + matches[-1].replace(" ", "-") + ". And more (c) 2020 all rights reserved"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    for i, text in enumerate(texts):
+        found, labels, score = scan_by_hand(text, rules)
+        r = got[i]
+        assert sorted((d.first, d.last, d.priority, d.label, d.weight, d.base) for d in r.detections) == sorted(found), text
+        base = {f[3] for f in found if f[5]}
+        assert set(r.license_labels) == labels | base and r.license_score == score, text
+        assert rules[i // 2].label in {f[3] for f in found}, (text, rules[i // 2])
+
+
+def test_scan_of_empty_tables_and_copies(spark):
+    df = spark.createDataFrame([(k, "SPDX-License-Identifier: MIT") for k in range(5)] + [(9, None), (10, ""), (11, "word " * 50000 + "see license file")], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.digest(df).collect()}
+    assert {got[k].labels for k in range(5)} == {"mit"} and got[9].labels == got[10].labels == "" and "license-reference" in got[11].labels
+    assert licenses.scan(df.limit(0)).count() == 0
