@@ -141,25 +141,26 @@ def refit(solution: np.ndarray, lengths: np.ndarray, capacity: int, r: np.random
     open_ = np.flatnonzero((fill > 0) & (fill < capacity))
     if len(open_) < 2:
         return solution
+    is_open = (fill > 0) & (fill < capacity)
     open_ = open_[np.argsort(fill[open_], kind="stable")].tolist()
     members: dict[int, list[int]] = {b: [] for b in open_}
-    for i in np.flatnonzero(np.isin(solution, open_)).tolist():
+    for i in np.flatnonzero(is_open[solution]).tolist():
         members[int(solution[i])].append(i)
     displaced: list[int] = []
     emptied: list[int] = []
     while len(emptied) < len(open_) and len(displaced) < 2 * WINDOW:
         emptied.append(open_[len(emptied)])
         displaced += members[emptied[-1]]
+    displaced = r.permutation(displaced).tolist()
     for b in reversed(open_[len(emptied):]):
-        own, tried = members[b], range(len(displaced))
-        if len(displaced) > WINDOW:
-            tried = r.choice(len(displaced), WINDOW, replace=False).tolist()
-        both = sorted(own + [displaced[k] for k in tried], key=size.__getitem__, reverse=True)
+        own, tried, displaced = members[b], displaced[:WINDOW], displaced[WINDOW:]
+        both = sorted(own + tried, key=size.__getitem__, reverse=True)
         taken = [both[k] for k in best_set([size[i] for i in both], capacity)]
-        if sum(size[i] for i in taken) > fill[b]:
+        if sum([size[i] for i in taken]) > fill[b]:
             solution[taken] = b
-            inside, aside = set(taken), set(tried)
-            displaced = [i for k, i in enumerate(displaced) if k not in aside] + [i for i in both if i not in inside]
+            inside = set(taken)
+            tried = [i for i in both if i not in inside]
+        displaced += tried
     displaced.sort(key=size.__getitem__, reverse=True)
     n = len(fill)
     while displaced:

@@ -42,8 +42,12 @@ class WordTokenizer:
         """The entry of each distinct hash; first: a word that has it."""
         if len(self.hashes) > MAX_WORDS:
             self._forget()
-        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        out, order = np.empty(len(hashes), np.int32), np.argsort(hashes)
+        hashes, first = hashes[order], first[order]  # in order, searches touch memory in order
+        where = np.searchsorted(self.hashes, hashes)
+        at = np.minimum(where, max(len(self.hashes) - 1, 0))
         known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), np.bool_)
+        out[order[known]] = self.entry[at[known]]
         new = np.flatnonzero(~known)
         if len(new):
             data, sizes, flat = words.data.tobytes(), [], []
@@ -58,11 +62,9 @@ class WordTokenizer:
             self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(sizes, dtype=np.int64) - sizes])
             self.size = np.concatenate([self.size, sizes])
             self.pool = np.concatenate([self.pool, *flat])
-            order = np.argsort(hashes[new])
-            where = np.searchsorted(self.hashes, hashes[new][order])
-            self.hashes, self.entry = np.insert(self.hashes, where, hashes[new][order]), np.insert(self.entry, where, entries[order])
-            at = np.searchsorted(self.hashes, hashes)
-        return self.entry[at]
+            self.hashes, self.entry = np.insert(self.hashes, where[new], hashes[new]), np.insert(self.entry, where[new], entries)
+            out[order[new]] = entries
+        return out
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each word has, and all of them.
