@@ -21,8 +21,8 @@ PROBES = 4
 #: Tables for so many vertices a bucket. At cosine 0.98 and 64 dimensions a table misses 2, 8, 17 and 28 pairs in 100, and all
 #: tables together about one in 10**8.
 TABLES = {2: 5, 3: 7, 4: 10, 5: 14}
-#: Vectors in a vertex bucket of the largest label, on average.
-PER_BUCKET = 5
+#: Vectors of the largest label for each bucket of a table at most: where more would meet by chance, buckets get one vertex more.
+PER_BUCKET = 0.07
 #: Vectors in a chunk, about; two chunks meet in one task.
 CHUNK = 512
 SEED = 17

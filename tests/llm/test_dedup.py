@@ -145,7 +145,7 @@ def test_recall_of_pairs_at_the_threshold(vertices):
 
 
 def test_layout_follows_the_largest_label():
-    assert [vectors.layout(n, 64) for n in (0, 80_000, 100_000, 10_000_000, 100_000_000, 10**12)] == [2, 2, 3, 3, 4, 5]
+    assert [vectors.layout(n, 64) for n in (0, 1000, 2000, 140_000, 200_000, 18_000_000, 10**9, 10**12)] == [2, 2, 3, 3, 4, 4, 5, 5]
 
 
 def test_operators_leave_only_what_their_results_read(spark):
