@@ -35,7 +35,6 @@ class NormalizationSettings:
     remove_stopwords: bool = False
     category: str | None = None
     rules: AbbreviationRules = field(default_factory=AbbreviationRules)
-    exact_accents: bool = False
 
 
 @dataclass(frozen=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 # Abbreviations by category, in the order in which later categories win.
 COMPANY = {
@@ -89,6 +90,7 @@ class AbbreviationRules:
         out.update(dict(self.custom))
         return {k: v for k, v in out.items() if k}
 
+    @lru_cache(maxsize=64)
     def compiled(self, category: str | None = None) -> tuple[list[tuple[str, str]], dict[str, str]]:
         """(phrases that hold a delimiter, longest first) and a map of single tokens, with their dotted forms.
 
@@ -97,16 +99,16 @@ class AbbreviationRules:
         rules = self.merged(category)
         order = sorted(rules, key=len, reverse=True)
         rank = {k: i for i, k in enumerate(order)}
+        patterns = [re.compile(self._pattern(k), re.I) for k in order]
 
         def settled(key: str, expansion: str) -> str:
             """The expansion after all the rules that come later than key's."""
             done = rank[key]
             while True:
-                later = [k for k in order[done + 1:] if re.search(self._pattern(k), f" {expansion} ", re.I)]
-                if not later:
+                done = next((i for i in range(done + 1, len(order)) if patterns[i].search(f" {expansion} ")), None)
+                if done is None:
                     return expansion
-                done = rank[later[0]]
-                expansion = re.sub(self._pattern(later[0]), lambda _: rules[later[0]], f" {expansion} ", flags=re.I)[1:-1]
+                expansion = patterns[done].sub(lambda _: rules[order[done]], f" {expansion} ")[1:-1]
 
         phrases, tokens = [], {}
         for key in order:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from .dictionary import DELIMITERS, AbbreviationRules
-from .text import collapse, let, strip, strip_accents, tokens
+from .text import collapse, let, literal_list, literal_map, strip, strip_accents, tokens
 
 # Words to numbers, in the order of their replacement.
 WORD_NUMBERS = {
@@ -43,12 +43,17 @@ def number_expressions(c: Column) -> Column:
     return let(c, lambda v: F.when(v.rlike(_NUMBER_GATE), _number_rules(v)).otherwise(v))
 
 
+#: The words as one regex. Their runs of word characters are looked up; none of the numbers they become is a word again.
+_NUMBER_WORDS = "(?iU)\\b(?:" + "|".join(WORD_NUMBERS) + ")\\b"
+
+
 def _number_rules(c: Column) -> Column:
     for i, (pattern, becomes) in enumerate(NUMBER_RULES):
         c = F.regexp_replace(c, ("(?U)" if i == 1 else "(?iU)") + pattern, becomes)
-    for word, number in WORD_NUMBERS.items():
-        c = F.regexp_replace(c, rf"(?iU)\b{word}\b", number)
-    return c
+    known = literal_map(WORD_NUMBERS)
+    parts = lambda v: F.regexp_extract_all(v, F.lit(r"(?U)\w+|\W+"), F.lit(0))
+    looked_up = lambda v: F.array_join(F.transform(parts(v), lambda t: F.coalesce(F.try_element_at(known, F.lower(t)), t)), "")
+    return let(c, lambda v: F.when(v.rlike(_NUMBER_WORDS), looked_up(v)).otherwise(v))
 
 
 def extract_numbers(c: Column) -> Column:
@@ -71,7 +76,7 @@ def expand(c: Column, rules: AbbreviationRules | None = None, category: str | No
         dot = "" if key.endswith(".") else r"\.?"
         c = F.regexp_replace(c, rf"(?i)(?<=[{DELIMITERS}]){escaped}{dot}(?=[{DELIMITERS}])", _java_literal(expansion))
     if by_token:
-        known = F.create_map(*[F.lit(x) for pair in sorted(by_token.items()) for x in pair])
+        known = literal_map(by_token)
         parts = F.regexp_extract_all(c, F.lit(rf"(?U)([^{DELIMITERS}]+|[{DELIMITERS}])"), F.lit(1))
         c = F.array_join(F.transform(parts, lambda t: F.coalesce(F.try_element_at(known, F.lower(t)), t)), "")
     return strip(c)
@@ -86,7 +91,7 @@ def normalize(c: Column, settings=None) -> Column:
     mode = settings.mode.lower()
     c = F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"(?U)^\s+$", "")
     if settings.remove_accents:
-        c = strip_accents(c, settings.exact_accents)
+        c = strip_accents(c)
     if not settings.case_sensitive:
         c = F.lower(c)
     if mode == "conservative":
@@ -102,7 +107,7 @@ def normalize(c: Column, settings=None) -> Column:
     if settings.normalize_whitespace:
         c = collapse(c)
     if settings.remove_stopwords:
-        c = F.array_join(F.filter(tokens(c), lambda t: ~t.isin(STOPWORDS)), " ")
+        c = F.array_join(F.filter(tokens(c), lambda t: ~F.array_contains(literal_list(STOPWORDS), t)), " ")
     return c
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import AUTO
 from ..functions.dictionary import ADDRESS, COMPANY
-from ..functions.text import clean, let, tokens
+from ..functions.text import clean, let, literal_list, tokens
 from .parse import TITLES
 
 # Patterns and words that tell the types.
@@ -39,14 +39,14 @@ def value_type(value: Column) -> Column:
         v, words, bare = s["v"], s["w"], s["b"]
         digits = F.char_length(F.regexp_replace(v, r"(?U)\D", ""))
         letter, digit, blank = v.rlike("[a-zA-Z]"), v.rlike(r"(?U)\d"), F.contains(v, F.lit(" "))
-        n, hits = F.size(words), F.size(F.filter(bare, lambda t: t.isin(ADDRESS_TOKENS)))
+        n, hits = F.size(words), F.size(F.filter(bare, lambda t: F.array_contains(literal_list(ADDRESS_TOKENS), t)))
         is_phone = ~letter & digits.between(7, 15) & (v.rlike(PHONE) | F.startswith(v, F.lit("+")) | F.contains(v, F.lit("-")) | blank)
         is_id = v.rlike(ID_CODE) | ((F.char_length(v) <= 24) & ~blank & digit & letter)
-        titled = (n <= 4) & (F.get(bare, F.lit(0)).isin(TITLES) | (F.contains(v, F.lit(",")) & (n <= 3)))
+        titled = (n <= 4) & (F.coalesce(F.array_contains(literal_list(TITLES), F.get(bare, F.lit(0))), F.lit(False)) | (F.contains(v, F.lit(",")) & (n <= 3)))
         two_three = n.between(2, 3) & ~F.exists(words, lambda t: F.char_length(t) < 2)
         return (
             F.when(v == "", "generic_text").when(v.rlike(EMAIL), "email").when(is_phone, "phone").when(is_id, "id_code")
-            .when(F.exists(bare, lambda t: t.isin(COMPANY_TOKENS)), "company")
+            .when(F.arrays_overlap(bare, literal_list(COMPANY_TOKENS)), "company")
             .when((digit & (hits >= 1)) | (hits >= 2), "address")
             .when(~digit & (titled | two_three), "person_name").otherwise("generic_text")
         )

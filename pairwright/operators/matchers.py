@@ -8,7 +8,6 @@ from pyspark.sql import Column, functions as F
 
 from ..config import NormalizationSettings, Thresholds, weights_for
 from ..functions import metrics as M
-from ..functions.normalize import normalize
 from . import parse, scoring
 from .stages import Stages
 
@@ -34,7 +33,7 @@ def _has(c: Column) -> Column:
 
 
 def generic_text(st: Stages, a: Column, b: Column, o: Options) -> Column:
-    na, nb = st.add(na=normalize(a, o.settings), nb=normalize(b, o.settings))
+    na, nb = st.normal(a, o.settings), st.normal(b, o.settings)
     held = dict(zip(
         ["exact_normalized", "token_sort", "token_set", "jaro_winkler", "levenshtein", "partial_match"],
         st.add(exact=M.exact(na, nb), sort=M.token_sort(na, nb), set=M.token_set(na, nb), jw=M.jaro_winkler(na, nb), lev=M.levenshtein(na, nb), part=M.partial(na, nb)),
@@ -122,7 +121,8 @@ def person_name(st: Stages, a: Column, b: Column, o: Options) -> Column:
 def company(st: Stages, a: Column, b: Column, o: Options) -> Column:
     x, y = (st.one(parse.company(st, v)) for v in (a, b))
     settings = o.settings or parse.COMPANY_SETTINGS
-    ka, kb, fa, fb, na, nb = st.add(ka=x["core"], kb=y["core"], fa=x["suffix"], fb=y["suffix"], na=normalize(a, settings), nb=normalize(b, settings))
+    ka, kb, fa, fb = st.add(ka=x["core"], kb=y["core"], fa=x["suffix"], fb=y["suffix"])
+    na, nb = st.normal(a, settings), st.normal(b, settings)
     jw_core, sort, lev, set_, jw = st.add(core=M.jaro_winkler(ka, kb), sort=M.token_sort(ka, kb), lev=M.levenshtein(ka, kb), set=M.token_set(na, nb), jw=M.jaro_winkler(na, nb))
     tight = [F.replace(k, F.lit(" "), F.lit("")) for k in (ka, kb)]
     core = F.when((ka == "") & (kb == ""), 100.0).when((ka == "") | (kb == ""), 0.0).when(tight[0] == tight[1], 100.0).otherwise(F.greatest(jw_core, sort, lev))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 from ..config import NormalizationSettings
 from ..functions.dictionary import STATE
 from ..functions.normalize import normalize
-from ..functions.text import clean, collapse, let, strip, tokens
+from ..functions.text import clean, collapse, let, literal_list, literal_map, strip, tokens
 from .stages import Stages
 
 ADDRESS_SETTINGS = NormalizationSettings(category="address")
@@ -53,11 +53,11 @@ def address(st: Stages, value: Column) -> Column:
 
     A city is the longest known one in the text, and the first by name of those of one length.
     """
-    (norm,) = st.add(norm=normalize(value, ADDRESS_SETTINGS))
+    norm = st.normal(value, ADDRESS_SETTINGS)
     postal = F.coalesce(_found(value, POSTAL), F.upper(_found(value, UK_POSTAL)))
-    codes = F.create_map(*[F.lit(x) for pair in STATE.items() for x in pair])
-    by_code = F.try_element_at(codes, F.get(F.filter(tokens(norm), lambda t: t.isin(list(STATE))), F.lit(0)))
-    by_name = F.coalesce(*[F.when(F.contains(norm, F.lit(name)), name) for name in dict.fromkeys(STATE.values())])
+    codes = literal_map(STATE)
+    by_code = F.get(F.filter(F.transform(tokens(norm), lambda t: F.try_element_at(codes, t)), lambda s: s.isNotNull()), F.lit(0))
+    by_name = F.get(F.filter(literal_list(dict.fromkeys(STATE.values())), lambda name: F.contains(norm, name)), F.lit(0))
     known = "|".join(sorted((c for c in CITIES if "-" not in c), key=len, reverse=True))
     cities = F.regexp_extract_all(norm, F.lit(rf"(?U)\b({known})\b"), F.lit(1))
     city = F.get(F.array_sort(F.transform(cities, lambda c: F.struct((-F.char_length(c)).alias("n"), c.alias("c")))), F.lit(0))["c"]
@@ -73,19 +73,22 @@ def address(st: Stages, value: Column) -> Column:
 def name(st: Stages, value: Column) -> Column:
     """raw, normalized, title, first_name, middle_names, last_name, suffix and initials of a clean value."""
     commas = F.filter(F.transform(F.split(value, ","), strip), lambda p: p != "")
-    norm, parts = st.add(norm=normalize(value, NAME_SETTINGS), parts=commas)
+    norm, (parts,) = st.normal(value, NAME_SETTINGS), st.add(parts=commas)
     nothing = F.array().cast("array<string>")
     (words,) = st.add(words=tokens(norm))
     first = F.get(words, F.lit(0))
-    title = F.when(first.isin(TITLES), first)
-    (title, words) = st.add(title=title, words=F.when(first.isin(TITLES), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words))
+    titles, suffixes = literal_list(TITLES), literal_list(SUFFIXES)
+    titled = F.array_contains(titles, first)
+    title = F.when(titled, first)
+    (title, words) = st.add(title=title, words=F.when(titled, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words))
     last = F.get(words, F.size(words) - 1)
-    suffix = F.when((F.size(words) > 0) & last.isin(SUFFIXES), last)
-    (suffix, words) = st.add(suffix=suffix, words=F.when((F.size(words) > 0) & last.isin(SUFFIXES), F.slice(words, 1, F.size(words) - 1)).otherwise(words))
+    ends = (F.size(words) > 0) & F.array_contains(suffixes, last)
+    suffix = F.when(ends, last)
+    (suffix, words) = st.add(suffix=suffix, words=F.when(ends, F.slice(words, 1, F.size(words) - 1)).otherwise(words))
     (n,) = st.add(n=F.size(words))
 
     def plain(c):
-        return F.filter(tokens(normalize(c, NAME_SETTINGS)), lambda t: ~t.isin(TITLES + SUFFIXES))
+        return F.filter(tokens(normalize(c, NAME_SETTINGS)), lambda t: ~F.array_contains(literal_list(TITLES + SUFFIXES), t))
 
     by_comma = F.contains(value, F.lit(",")) & (F.size(parts) >= 2)
     before, after = st.add(
@@ -154,32 +157,32 @@ def identifier(value: Column) -> Column:
 
 def company(st: Stages, value: Column) -> Column:
     """core and suffix: the name without its legal form, and the form as it is written out."""
-    (norm,) = st.add(norm=normalize(value, COMPANY_SETTINGS))
+    norm = st.normal(value, COMPANY_SETTINGS)
     words = tokens(norm)
     (core,) = st.add(core=let(words, lambda t: F.when((F.size(t) > 1) & ~F.exists(t, lambda x: F.char_length(x) != 1), F.array_join(t, "")).otherwise(norm)))
-    which = F.coalesce(*[F.when(F.regexp_like(core, F.lit("(?iU)" + p)), F.lit(i)) for i, p in enumerate(LEGAL_FORMS)])
-    (which,) = st.add(which=which)
-    patterns = F.array(*[F.lit("(?iU)" + p) for p in LEGAL_FORMS])
-    pattern = F.get(patterns, which)
+    forms = literal_list("(?iU)" + p for p in LEGAL_FORMS)
+    # one look for any of them; which it is only where there is one
+    any_form = F.regexp_like(core, F.lit("(?iU)" + "|".join(LEGAL_FORMS)))
+    (pattern,) = st.add(form=F.when(any_form, F.get(F.filter(forms, lambda p: F.regexp_like(core, p)), F.lit(0))))
     return F.when(value.isNotNull(), F.struct(
-        F.when(which.isNull(), core).otherwise(collapse(F.regexp_replace(core, pattern, F.lit("")))).alias("core"),
-        F.when(which.isNull(), "").otherwise(strip(F.regexp_substr(core, pattern))).alias("suffix"),
+        F.when(pattern.isNull(), core).otherwise(collapse(F.regexp_replace(core, pattern, F.lit("")))).alias("core"),
+        F.when(pattern.isNull(), "").otherwise(strip(F.regexp_substr(core, pattern))).alias("suffix"),
     ))
 
 
 def parse_address(df, column: str, out: str = "address"):
-    st = Stages(df)
-    (value,) = st.add(value=clean(F.col(column)))
-    return st.done(**{out: address(st, value)})
+    st = Stages()
+    (value,) = st.add(value=clean(F.col(f"`{column}`")))
+    return st.done(df, **{out: address(st, value)})
 
 
 def parse_name(df, column: str, out: str = "name"):
-    st = Stages(df)
-    (value,) = st.add(value=clean(F.col(column)))
-    return st.done(**{out: name(st, value)})
+    st = Stages()
+    (value,) = st.add(value=clean(F.col(f"`{column}`")))
+    return st.done(df, **{out: name(st, value)})
 
 
 def parse_company(df, column: str, out: str = "company"):
-    st = Stages(df)
-    (value,) = st.add(value=clean(F.col(column)))
-    return st.done(**{out: company(st, value)})
+    st = Stages()
+    (value,) = st.add(value=clean(F.col(f"`{column}`")))
+    return st.done(df, **{out: company(st, value)})

@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.scratch import scratch_path
 from .scoring import STATUSES
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """df with numbers from 1 in its present order; only the rows' count in each partition comes to the driver."""
-    marked = df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    start, starts = 0, []
-    for r in sorted(marked.groupBy("_part").count().collect(), key=lambda r: r["_part"]):
-        starts += [F.lit(r["_part"]), F.lit(start)]
-        start += r["count"]
-    first = F.create_map(*starts)[F.col("_part")] if starts else F.lit(0)
-    return marked.withColumn(name, (F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33) + first + 1).cast("long")).drop("_part", "_at")
+    """df with numbers from 1 in its present order.
+
+    The rows are written with their part and place first, so that both are what they are however often they are read; the parts' counts,
+    a row a part, come to the driver and go back as a small table.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "rows")
+    place = F.struct(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), place.alias("place")).write.parquet(path)
+    rows, first, starts = spark.read.parquet(path), 0, []
+    for r in sorted(rows.groupBy("place.part").agg(F.count(F.lit(1)).alias("n"), F.min("place.at").alias("at")).collect(), key=lambda r: r["part"]):
+        starts.append((r["part"], first - r["at"] + 1))
+        first += r["n"]
+    shifts = spark.createDataFrame(starts, "part int, shift long")
+    numbered = rows.join(F.broadcast(shifts), F.col("place.part") == F.col("part"))
+    return numbered.select(*[F.col(f"row.`{c}`") for c in df.columns if c != name], (F.col("place.at") + F.col("shift")).alias(name))
 
 
 def light(df: DataFrame, row_id: str = "row_id", match: str = "match") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -33,8 +34,7 @@ def _matched(st: Stages, col_a: Column, col_b: Column, kind: str, options: Optio
     A matcher sees null for rows that are not its own, so its regexes and Python measures skip them: one pass, not one a type.
     """
     a, b = st.add(a=clean(col_a), b=clean(col_b))
-    some = (a != "") & (b != "")
-    kind = kind.lower()
+    (some,) = st.add(some=(a != "") & (b != ""))
     if kind not in AUTO:
         kind = kind if kind in MATCHERS else "generic_text"
         va, vb = st.add(a=F.when(some, a), b=F.when(some, b))
@@ -48,6 +48,18 @@ def _matched(st: Stages, col_a: Column, col_b: Column, kind: str, options: Optio
     return scoring.choose(branches)
 
 
+@lru_cache(maxsize=256)
+def _plan(session: str, prefix: str, kind: str, settings: NormalizationSettings | None, weights: tuple | None, thresholds: Thresholds) -> tuple[Stages, Column]:
+    """The columns of a match of `{prefix}a` and `{prefix}b`, and its result; made once for a session."""
+    st = Stages(prefix)
+    options = Options(settings, None if weights is None else dict(weights), thresholds)
+    return st, _matched(st, F.col(f"{prefix}a"), F.col(f"{prefix}b"), kind, options)
+
+
+def _planned(df: DataFrame, prefix: str, kind: str, settings, weights: dict | None, thresholds: Thresholds) -> tuple[Stages, Column]:
+    return _plan(df.sparkSession.sparkContext.applicationId, prefix, kind.lower(), settings, None if weights is None else tuple(weights.items()), thresholds)
+
+
 def match_columns(df: DataFrame, col_a: str, col_b: str, matching_type: str = "auto", settings: NormalizationSettings | None = None,
                   weights: dict[str, float] | None = None, thresholds: Thresholds = Thresholds(), per_row: bool = False) -> DataFrame:
     """df with `match`, the result of col_a and col_b in each row.
@@ -57,9 +69,8 @@ def match_columns(df: DataFrame, col_a: str, col_b: str, matching_type: str = "a
     """
     _need(df, col_a, col_b)
     kind = "auto" if per_row and matching_type.lower() in AUTO else detect.job_type(df, col_a, col_b, matching_type)
-    st = Stages(df)
-    found = _matched(st, F.col(f"`{col_a}`"), F.col(f"`{col_b}`"), kind, Options(settings, weights, thresholds))
-    return st.done(match=found)
+    st, found = _planned(df, "_pairwright_", kind, settings, weights, thresholds)
+    return st.done(df, {"_pairwright_a": F.col(f"`{col_a}`"), "_pairwright_b": F.col(f"`{col_b}`")}, match=found)
 
 
 def match_multi(df: DataFrame, pairs: list[ColumnPair], settings: NormalizationSettings | None = None, thresholds: Thresholds = Thresholds()) -> DataFrame:
@@ -72,8 +83,13 @@ def match_multi(df: DataFrame, pairs: list[ColumnPair], settings: NormalizationS
     _need(df, *[c for p in pairs for c in (p.col_a, p.col_b)])
     total = sum(p.weight for p in pairs)
     shares = {f"{p.col_a} ↔ {p.col_b}": p.weight / total * 100.0 if total > 0 else 100.0 / len(pairs) for p in pairs}
-    st = Stages(df)
-    results = [st.one(_matched(st, F.col(f"`{p.col_a}`"), F.col(f"`{p.col_b}`"), p.type, Options(settings, None, thresholds))) for p in pairs]
+    st, results, inputs = Stages("_pairwright_all_"), [], {}
+    for i, p in enumerate(pairs):
+        own, found = _planned(df, f"_pairwright_{i}_of_", p.type, settings, None, thresholds)
+        st.take_in(own)
+        inputs |= {f"_pairwright_{i}_of_a": F.col(f"`{p.col_a}`"), f"_pairwright_{i}_of_b": F.col(f"`{p.col_b}`")}
+        st.noted[f"_pairwright_all_{i}_match"] = found, 1 + max(n for _, n in own.noted.values())
+        results.append(F.col(f"_pairwright_all_{i}_match"))
     labels = [f"{p.col_a} ↔ {p.col_b}" for p in pairs]
     parts = {label: r["score"] for label, r in zip(labels, results)}
 
@@ -83,7 +99,7 @@ def match_multi(df: DataFrame, pairs: list[ColumnPair], settings: NormalizationS
 
     said = F.concat_ws("; ", *[F.concat(F.lit(label + " ("), r["score"].cast("string"), F.lit("%)")) for label, r in zip(labels, results)])
     found = scoring.result(st, joined("a", True), joined("b", True), joined("a", False), joined("b", False), parts, shares, "multi_column", thresholds, said)
-    return st.done(match=found)
+    return st.done(df, inputs, match=found)
 
 
 def match_pair(spark: SparkSession, a: str | None, b: str | None, matching_type: str = "auto", settings: NormalizationSettings | None = None,
