@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from . import xlsx
+from .scratch import write_bytes
 
 
 def write_csv(table: DataFrame, path: str, single: bool = False) -> None:
@@ -15,14 +16,7 @@ def write_csv(table: DataFrame, path: str, single: bool = False) -> None:
 
 def write_xlsx(table: DataFrame, path: str) -> None:
     """A workbook through Spark's file system, for tables within a sheet's limit."""
-    spark = table.sparkSession
-    content = xlsx.workbook_of(table)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
-    try:
-        out.write(bytearray(content))
-    finally:
-        out.close()
+    write_bytes(table.sparkSession, path, xlsx.workbook_of(table))
 
 
 def export(table: DataFrame, path: str, format: str = "csv") -> str:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import csv
+import io
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import xlsx
+from .scratch import write_bytes
 
 # Pairs with the category a reader would expect.
 ADDRESSES = [
@@ -74,14 +76,18 @@ def sample(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
 
 
-def write_samples(folder: str) -> list[str]:
-    """The tables as three CSV files and a workbook in a local folder."""
-    where = Path(folder)
-    where.mkdir(parents=True, exist_ok=True)
-    out = []
+def write_samples(folder: str, spark: SparkSession | None = None) -> list[str]:
+    """The tables as three CSV files and a workbook: in a local folder, or by Spark's file system if a session is given."""
+    made: dict[str, bytes] = {}
     for name, file in (("addresses", "sample_addresses.csv"), ("companies", "sample_companies.csv"), ("names", "sample_persons.csv")):
-        with (where / file).open("w", newline="", encoding="utf-8") as f:
-            csv.writer(f).writerows([SAMPLES[name][0], *SAMPLES[name][1]])
-        out.append(str(where / file))
-    (where / "sample_customers.xlsx").write_bytes(xlsx.workbook(*SAMPLES["customers"][:2], sheet="Sheet1"))
-    return [*out, str(where / "sample_customers.xlsx")]
+        text = io.StringIO(newline="")
+        csv.writer(text).writerows([SAMPLES[name][0], *SAMPLES[name][1]])
+        made[file] = text.getvalue().encode()
+    made["sample_customers.xlsx"] = xlsx.workbook(*SAMPLES["customers"][:2], sheet="Sheet1")
+    for file, content in made.items():
+        if spark is None:
+            Path(folder).mkdir(parents=True, exist_ok=True)
+            (Path(folder) / file).write_bytes(content)
+        else:
+            write_bytes(spark, f"{folder}/{file}", content)
+    return [f"{folder}/{file}" for file in made]

@@ -9,6 +9,19 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the session's shared spark.checkpoint.dir; in a temporary folder where that is unset."""
+    """A new path in the session's shared spark.checkpoint.dir; in a temporary folder where that is unset and all run on this machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not shared and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp(prefix='pairwright-')}/{uuid.uuid4().hex}/{name}"
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file in any store that Spark writes."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
