@@ -87,6 +87,11 @@ class MatchJob:
     def light(self) -> DataFrame:
         return results.light(self.table())
 
+    def page(self, number: int = 1, size: int = 50, by: str = "score", descending: bool = True) -> DataFrame:
+        """One page of the written results in the order of a column; nothing is scored again."""
+        rows = self.light()
+        return results.page(results.sort(rows, by, descending), number, size, self.table().count())
+
     def statistics(self) -> DataFrame:
         return results.statistics(self.table())
 

@@ -140,6 +140,19 @@ def osa(q: Sql, name: str, a: str, b: str) -> Sql:
 
 # ---- normal form ----
 
+#: Characters of the accents' pairs that are more than a base with marks, and their plain forms.
+PLAIN = {
+    "\u0439": "\u0438", "\u0451": "\u0435", "\u03ac": "\u03b1", "\u0390": "\u03b9", "\ufb01": "fi", "\ufb03": "ffi", "\u00bd": "1\u20442", "\u0133": "ij", "\uff21": "A", "\u339e": "km",
+    "\ud55c": "\u1112\u1161\u11ab", "\u0301": "", "\u0308": "", "\u00e9": "e", "\u00f6": "o", "\u00c5": "A", "\u00b2": "2",
+}
+
+
+def accents(c: str) -> str:
+    for source, plain in PLAIN.items():
+        c = f"replace({c}, {text(source)}, {text(plain)})"
+    return c
+
+
 def strip(c: str) -> str:
     return rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
 

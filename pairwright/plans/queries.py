@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -12,10 +13,10 @@ from ..functions.dictionary import AbbreviationRules
 from ..functions.text import strip_accents
 from ..operators import detect, parse, results
 from ..sources import export, readers
-from ..sources.samples import SAMPLES, sample
+from ..sources.samples import SAMPLES, sample, write_samples
 from ..sources.scratch import scratch_path
 from . import oracle as O
-from .engine import ColumnPair, match_columns, match_multi
+from .engine import ColumnPair, match_columns, match_multi, match_pair
 from .jobs import MatchJob
 from .pairs import PAIRS, pairs
 
@@ -91,7 +92,7 @@ def _register_normal_forms() -> None:
     for name, pair_set, category, rules in (
         ("company", "company", "company", None), ("address", "units", "address", None), ("all", "units", None, None), ("custom", "units", "none", AbbreviationRules().add("Ring", "circle").add("pvt", "own"))):
         _columns(f"q_abbrev_{name}", pair_set, lambda a, b, rules=rules, category=category: {"x": N.expand(F.lower(a), rules, category), "y": N.expand(F.lower(b), rules, category)}, {"x": O.expand("lower(a)", category, rules), "y": O.expand("lower(b)", category, rules)})
-    _columns("q_accents", "accents", lambda a, b: {"x": strip_accents(a), "y": strip_accents(b)}, {"x": "strip_accents(a)", "y": "strip_accents(b)"})
+    _columns("q_accents", "accents", lambda a, b: {"x": strip_accents(a), "y": strip_accents(b)}, {"x": O.accents("a"), "y": O.accents("b")})
     _columns("q_parse_email", "email", lambda a, b: {"local": parse.email(a)["local"], "domain": parse.email(a)["domain"]}, {"local": "trim(split_part(lower(a), '@', 1))", "domain": "trim(split_part(lower(a), '@', 2))"})
     _columns("q_detect_value", "mixed", lambda a, b: {"x": detect.value_type(a), "y": detect.value_type(b)}, {"x": O.value_type("a"), "y": O.value_type("b")})
     x, y = O.value_type("a"), O.value_type("b")
@@ -182,6 +183,10 @@ def _ids(spark, sf_dir, **options) -> DataFrame:
     return match_columns(pairs(spark, sf_dir, "id_code"), "a", "b", "id_code", **options)
 
 
+def _id_job(spark, sf_dir) -> MatchJob:
+    return MatchJob.columns(pairs(spark, sf_dir, "id_code").withColumnRenamed("id", "row_id"), scratch_path(spark, "job"), "a", "b", "id_code")
+
+
 _ID = O.match_id(O.of("id_code"))
 _LIGHT = "id as row_index, score, status, confidence, matching_type, a as original_a, b as original_b, summary"
 
@@ -304,7 +309,7 @@ def _sort(spark, sf_dir):
 
 @query("q_page", _ID.select(_LIGHT, "order by score desc, id limit 100 offset (select (least(3, greatest(1, (count(*) + 99) // 100)) - 1) * 100 from customer)"))
 def _page(spark, sf_dir):
-    return results.page(results.sort(_light(spark, sf_dir)), 3, 100)
+    return _id_job(spark, sf_dir).run().page(3, 100)
 
 
 @query("q_explain_row", _ID.select("id as row_index, score, status, normalized_a, normalized_b, matching_tokens, summary", "where id = 7"))
@@ -313,9 +318,12 @@ def _explain_row(spark, sf_dir):
     return results.explain_row(_ids(spark, sf_dir), 7, "id").select("row_index", "score", "status", e["normalized_a"].alias("normalized_a"), e["normalized_b"].alias("normalized_b"), F.array_join(e["matching_tokens"], " ").alias("matching_tokens"), e["summary"].alias("summary"))
 
 
-@query("q_export_table", _ID.select('id as "Row", a as "Original_a", b as "Original_b", normalized_a as "Normalized_a", normalized_b as "Normalized_b", score as "Match_Score", status as "Match_Status", confidence as "Confidence", matching_type as "Match_Type", replace(matching_tokens, \' \', \', \') as "Matching_Tokens", summary as "Match_Summary"'))
+_EXPORTED = _ID.select('id as "Row", a as "Original_a", b as "Original_b", normalized_a as "Normalized_a", normalized_b as "Normalized_b", score as "Match_Score", status as "Match_Status", confidence as "Confidence", matching_type as "Match_Type", replace(matching_tokens, \' \', \', \') as "Matching_Tokens", summary as "Match_Summary", \'{"exact_clean":\' || round(c_exact, 1)::varchar || \',"prefix_match":\' || round(c_prefix, 1)::varchar || \',"levenshtein":\' || round(c_lev, 1)::varchar || \'}\' as "Component_Scores"')
+
+
+@query("q_export_table", _EXPORTED)
 def _export_table(spark, sf_dir):
-    return results.export_table(_ids(spark, sf_dir), "a", "b", "id").drop("Component_Scores")
+    return results.export_table(_ids(spark, sf_dir), "a", "b", "id")
 
 
 # ---- files and jobs ----
@@ -361,8 +369,7 @@ def _preview(spark, sf_dir):
 
 @query("q_job", _ID.select("count(*) as total, round(avg(score), 1) as avg_score, 1.0::double as progress"))
 def _job(spark, sf_dir):
-    df = pairs(spark, sf_dir, "id_code").withColumnRenamed("id", "row_id")
-    job = MatchJob.columns(df, scratch_path(spark, "job"), "a", "b", "id_code").start()
+    job = _id_job(spark, sf_dir).start()
     job.wait()
     return job.statistics().select("total", "avg_score", F.lit(job.progress()).alias("progress"))
 
@@ -376,3 +383,82 @@ def _stream(spark, sf_dir):
     rows = spark.readStream.schema("id long, a string, b string").option("maxFilesPerTrigger", 2).parquet(source)
     write_matches(match_stream(rows, "a", "b", "id_code").select("id", "match.score", "match.status"), out, state).awaitTermination()
     return spark.read.parquet(out)
+
+
+@query("q_export_file", f'select "Row"::varchar as "Row", "Match_Score"::varchar as "Match_Score", "Match_Status", "Match_Summary", "Component_Scores" from ({_EXPORTED})')
+def _export_file(spark, sf_dir):
+    path = _id_job(spark, sf_dir).run().export(scratch_path(spark, "matches.csv"))
+    return readers.read_table(spark, path).select("Row", "Match_Score", "Match_Status", "Match_Summary", "Component_Scores")
+
+
+@query("q_load_table", f"select (select count(*) from ({_BACK})) as n, k.column_name, k.kind from (values ('id', 'id_code'), ('a', 'address'), ('b', 'address')) as k(column_name, kind)")
+def _load_table(spark, sf_dir):
+    path = scratch_path(spark, "loaded.csv")
+    export.write_csv(_text_table(spark, sf_dir), path)
+    _, info, kinds = readers.load_table(spark, path, "loaded_pairs")
+    return spark.createDataFrame([(spark.table("loaded_pairs").count(), c, kinds[c][0]) for c in info.columns], "n long, column_name string, kind string")
+
+
+@query("q_sample_files", "select * from (values " + ", ".join(f"('{k}', {len(v[1])}::bigint, {len(v[0])}::bigint)" for k, v in SAMPLES.items()) + ") as t(sample, n, columns)")
+def _sample_files(spark, sf_dir):
+    folder = scratch_path(spark, "samples")
+    out = []
+    for name, path in zip(SAMPLES, write_samples(folder, spark)):
+        df = readers.read_table(spark, path)
+        out.append((name, df.count(), len(df.columns)))
+    return spark.createDataFrame(out, "sample string, n long, columns long")
+
+
+# ---- errors, single pairs, dispatch ----
+
+def _refused(act) -> str:
+    try:
+        act()
+    except ValueError as e:
+        return str(e)
+    return ""
+
+
+@query("q_unsupported_format", "select * from (values ('x.docx', true), ('x.xls', true), ('x', true)) as t(path, refused)")
+def _unsupported_format(spark, sf_dir):
+    return spark.createDataFrame([(p, _refused(lambda p=p: readers.read_table(spark, p)) != "") for p in ("x.docx", "x.xls", "x")], "path string, refused boolean")
+
+
+@query("q_column_validation", "select * from (values ('no such column: missing; there are id, a, b'), ('no such column: n1, n2; there are id, a, b'), ('no column pairs')) as t(message)")
+def _column_validation(spark, sf_dir):
+    df = pairs(spark, sf_dir, "id_code")
+    acts = [lambda: match_columns(df, "a", "missing"), lambda: match_multi(df, [ColumnPair("n1", "n2")]), lambda: match_multi(df, [])]
+    return spark.createDataFrame([(_refused(act),) for act in acts], "message string")
+
+
+_EDITED = AbbreviationRules().add("Ring", "circle").add("fl", "flight")
+_columns("q_dictionary_edits", "units", lambda a, b: {"x": N.expand(F.lower(a), _EDITED.remove("RING"), "none"), "y": N.expand(F.lower(b), _EDITED.clear(), "address"), "z": N.expand(F.lower(b), _EDITED, "none")},
+         {"x": O.expand("lower(a)", "none", AbbreviationRules((("fl", "flight"),))), "y": O.expand("lower(b)", "address"), "z": O.expand("lower(b)", "none", _EDITED)})
+
+
+#: (a, b, type): each pair is matched by itself.
+_SINGLE = [("CUST-1", "cust1", "auto"), ("CUST-1", "CUST-2", "id_code"), ("a@x.org", "a@x.org", "AUTO"), ("", "x", "phone"), ("+1 212 555 0144", "12125550144", "phone")]
+
+
+@query("q_match_pair", "select * from (values ('CUST-1', 'cust1', 100.0::double, 'Strong Match', 'id_code'), ('CUST-1', 'CUST-2', 27.0::double, 'Weak Match', 'id_code'), ('a@x.org', 'a@x.org', 100.0::double, 'Strong Match', 'email'), ('', 'x', 0.0::double, 'No Match', 'generic_text'), ('+1 212 555 0144', '12125550144', 100.0::double, 'Strong Match', 'phone')) as t(a, b, score, status, matching_type)")
+def _match_pair(spark, sf_dir):
+    found = [match_pair(spark, a, b, kind).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "score", "status", "matching_type") for a, b, kind in _SINGLE]
+    return reduce(DataFrame.union, found)
+
+
+@query("q_job_type", " union all ".join(f"select '{k}' as pair_set, '{v}' as kind" for k, v in (("id_code", "id_code"), ("phone", "phone"), ("email", "email"), ("company", "company"), ("address", "address"))))
+def _job_type(spark, sf_dir):
+    found = [(k, detect.job_type(pairs(spark, sf_dir, k), "a", "b", "auto")) for k in ("id_code", "phone", "email", "company", "address")]
+    return spark.createDataFrame(found, "pair_set string, kind string")
+
+
+@query("q_match_auto_job", _ID.select("id, score, status, matching_type"))
+def _match_auto_job(spark, sf_dir):
+    return match_columns(pairs(spark, sf_dir, "id_code"), "a", "b", "auto").select("id", "match.score", "match.status", "match.matching_type")
+
+
+@query("q_dispatch", "select id, x.score as typed, y.score as unknown, y.matching_type as kind from (" + _ID.select("id, score") + ") x join (" + O.match_generic(O.of("id_code")).select("id, score, matching_type") + ") y using (id)")
+def _dispatch(spark, sf_dir):
+    df = pairs(spark, sf_dir, "id_code")
+    typed = match_columns(df, "a", "b", "ID_Code").select("*", F.col("match.score").alias("typed")).drop("match")
+    return match_columns(typed, "a", "b", "no such type").select("id", "typed", F.col("match.score").alias("unknown"), F.col("match.matching_type").alias("kind"))

@@ -1,5 +1,8 @@
 """Scores worked out by hand, and the rules at their edges."""
 
+import sys
+import unicodedata
+
 import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -77,9 +80,16 @@ def test_custom_rules_chain_and_are_values(spark):
     assert AbbreviationRules().merged("address")["ct"] == "chhattisgarh" and AbbreviationRules().merged()["ga"] == "georgia"
 
 
-def test_accents(spark):
-    got = one(spark, F.struct(strip_accents(F.col("v")).alias("n"), strip_accents(F.col("v"), exact=True).alias("e")), "Ångström ñandú", "ﬁn ½", "é")
-    assert [(r.x.n, r.x.e) for r in got] == [("Angstrom nandu",) * 2, ("ﬁn ½", "fin 1⁄2"), ("e", "e")]
+def test_accents_of_all_of_unicode(spark):
+    def plain(text):
+        return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+    codes = [chr(c) for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    texts = ["x" + "y".join(codes[i:i + 500]) for i in range(0, len(codes), 500)] + ["Ångström ñandú", "ﬁn ½", "e\u0301\u0323", "ά й ﬁ ½ ĳ é 한글", "", "plain"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string")
+    got = {r.i: r.x for r in df.select("i", strip_accents(F.col("v")).alias("x")).collect()}
+    assert all(got[i] == plain(t) for i, t in enumerate(texts))
+    assert one(spark, strip_accents(F.col("v")), None)[0].x is None
 
 
 def jaro_by_hand(a, b):
