@@ -1,21 +1,26 @@
-"""The corpus pipeline: documents through five stages, each written and read again."""
+"""The corpus pipeline: documents through five stages, each written and read again.
+
+Stages keep all columns of documents, whatever else these hold. An empty table stays empty. Documents whose text is null or empty go in the
+first two stages; rows without language, source or id go on as far as their texts do. Copies go in the third stage, in
+which a row is judged by its own text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairwright.llm import langid, minhash, mixing, packing, quality_rules
-from pairwright.llm.storage import materialize
+from pairwright.llm.storage import discard, materialize, owner
 
-#: Below this ratio score a prediction that contradicts the label does not reject a document.
-SURE_LANGUAGE = 0.6
-SURE_CHARS = 200
 
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str, sure: float = 0.6, sure_chars: int = 200) -> DataFrame:
+    """Rejects texts without a language, and those of which the text surely contradicts the label.
 
-def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a language, and those of which the text surely contradicts the label."""
+    A prediction is sure from a score of `sure` on and for texts of sure_chars characters and more: a shorter text has some twenty phrases
+    in any language, so a name or two may turn the ratio, and its label is then the better witness.
+    """
     named = langid.identify(docs, langid.learn(docs))
-    wrong = (F.col("lang_pred") != F.col("lang")) & (F.col("score") >= SURE_LANGUAGE) & (F.length("text") >= SURE_CHARS)
+    wrong = (F.col("lang_pred") != F.col("lang")) & (F.col("score") >= sure) & (F.length("text") >= sure_chars)
     return named.where((F.col("lang_pred") != "und") & ~F.coalesce(wrong, F.lit(False))).select(*docs.columns)
 
 
@@ -30,8 +35,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents up to 90 % of all tokens by the target weights, each at most once."""
-    return mixing.mix(docs, percent=90, max_epochs=1).select(*docs.columns)
+    """Takes documents up to 90 % of all tokens by the target weights, each at most once; the one in which a leaf's prefix ends is taken whole."""
+    return mixing.mix(docs, percent=90, max_epochs=1, crossing=True).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,13 +52,23 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL expresses neither the language model nor the packing; tests hold the stages against brute force.
+#: SQL expresses neither the language model nor the packing; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over all documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows over all documents. Each stage's table is deleted when the next one is written."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = materialize(stage(spark, docs, sf_dir), name)
+        written: list[str] = []
+
+        def step() -> DataFrame:
+            result, place = materialize(stage(spark, docs, sf_dir), name)
+            written.append(place)
+            return result
+
+        docs = owner(step)()
+        if path:
+            discard(spark, path)
+        path = written[0]
     return STAGES[-1][1](spark, docs, sf_dir)
