@@ -52,19 +52,23 @@ class Thresholds:
 
 
 def normalize_weights(weights: dict[str, float]) -> dict[str, float]:
-    """Weights scaled to a sum of 100; equal ones if none is positive in sum."""
+    """Weights that sum to 100 as they are, others scaled to it with two decimals; equal shares where there is nothing to scale."""
     total = sum(weights.values())
     if total <= 0:
-        return {k: 100.0 / len(weights) for k in weights}
-    if abs(total - 100.0) < 0.001:
-        return dict(weights)
-    return {k: round(v * 100.0 / total, 2) for k, v in weights.items()}
+        return dict.fromkeys(weights, 100.0 / max(len(weights), 1))
+    off = abs(total - 100.0) >= 0.001
+    return {name: round(w * 100.0 / total, 2) if off else w for name, w in weights.items()}
+
+
+def _is_number(value) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool)
 
 
 def weights_for(kind: str, custom: dict[str, float] | None = None) -> dict[str, float]:
-    """The profile of a type (generic text for unknown ones) with the custom values of its own components."""
-    base = WEIGHT_PROFILES.get(kind.lower(), WEIGHT_PROFILES["generic_text"])
+    """The profile of a type (generic text for unknown ones) with the custom numbers for its own components, scaled if there are any customs."""
+    name = kind.lower() if kind.lower() in WEIGHT_PROFILES else "generic_text"
+    profile = dict(WEIGHT_PROFILES[name])
     if not custom:
-        return dict(base)
-    known = {k: float(v) for k, v in custom.items() if k in base and isinstance(v, (int, float)) and not isinstance(v, bool)}
-    return normalize_weights({**base, **known})
+        return profile
+    profile.update((c, float(custom[c])) for c in profile if _is_number(custom.get(c)))
+    return normalize_weights(profile)

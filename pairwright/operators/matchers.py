@@ -1,4 +1,7 @@
-"""The seven matchers: component scores of two clean values, and the result struct."""
+"""The seven matchers: component scores of two clean values, and the result struct.
+
+The scores that components get in special cases, and the texts of summaries, are fixed values.
+"""
 
 from __future__ import annotations
 
