@@ -77,7 +77,7 @@ def _columns_of(spark: SparkSession, path: str) -> DataFrame | None:
 
     The object is parsed where it is read; only the columns' names come to the driver.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,string>").alias("m"))
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
     named = whole.select(F.map_keys("m").alias("names"), F.forall(F.map_values("m"), lambda v: F.coalesce(v.rlike(r"^\s*[\[{]"), F.lit(False))).alias("of_rows")).take(2)
     if len(named) != 1 or not named[0]["names"] or not named[0]["of_rows"]:
         return None

@@ -2,19 +2,51 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+_made: list[tuple[SparkSession, str]] = []
+_own: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the session's shared spark.checkpoint.dir; in a temporary folder where that is unset and all run on this machine."""
+    """A new path in the session's shared spark.checkpoint.dir; in a temporary folder where that is unset and all run on this machine.
+
+    What is written there is deleted by clear_scratch(), or at exit.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     master = spark.sparkContext.master
-    if not shared and (not master.startswith("local") or master.startswith("local-cluster")):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp(prefix='pairwright-')}/{uuid.uuid4().hex}/{name}"
+    if not shared:
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="pairwright-"))
+        shared = "file://" + _own[0]
+    _made.append((spark, f"{shared.rstrip('/')}/{uuid.uuid4().hex}"))
+    return f"{_made[-1][1]}/{name}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what the session has written to scratch paths; tables that read it are then of no use."""
+    for owner, path in [m for m in _made if m[0] is spark]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _made.remove((owner, path))
+
+
+@atexit.register
+def _at_exit() -> None:
+    for spark in {id(s): s for s, _ in _made}.values():
+        with contextlib.suppress(Exception):  # the session may have ended
+            clear_scratch(spark)
+    for path in _own:
+        shutil.rmtree(path, ignore_errors=True)
 
 
 def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:

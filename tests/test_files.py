@@ -57,6 +57,46 @@ def test_samples(spark, tmp_path):
         samples.sample(spark, "none")
 
 
+def test_csv_layout_and_splits(spark, tmp_path):
+    """A file without values over lines is read by several tasks; one odd quote anywhere makes it one task's work."""
+    body = b'id,name\n' + b'1,"a ""quoted"" name"\n' * 60_000
+    (tmp_path / "flat.csv").write_bytes(body)
+    (tmp_path / "over.csv").write_bytes(body + b'2,"two\nlines"\n')
+    assert readers.csv_layout(spark, str(tmp_path / "flat.csv")) == ("UTF-8", False) and readers.csv_layout(spark, str(tmp_path / "over.csv")) == ("UTF-8", True)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        flat, over = (readers.read_table(spark, str(tmp_path / f"{n}.csv")) for n in ("flat", "over"))
+        assert flat.rdd.getNumPartitions() > 1 == over.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert flat.where("name = 'a \"quoted\" name'").count() == 60_000 and over.where("id = '2'").first()["name"] == "two\nlines"
+
+
+def test_json_of_columns_is_parsed_by_executors(spark, tmp_path):
+    for name, text in (("rows", '{"a": {"0": "x", "1": null, "2": {"k": 1}}, "b c": {"0": 1, "1": 2.5, "2": true}}'), ("lists", '{\n "a": ["x", null, {"k": 1}],\n "b c": [1, 2.5, true, 9]\n}'), ("one", '{"a": ["only"]}')):
+        (tmp_path / f"{name}.json").write_text(text)
+    want = [("x", "1"), ("", "2.5"), ('{"k":1}', "true")]
+    for name in ("rows", "lists"):
+        got = readers.read_table(spark, str(tmp_path / f"{name}.json"))
+        assert got.columns == ["a", "b c"] and [tuple(r) for r in got.collect()] == want, name
+    assert [tuple(r) for r in readers.read_table(spark, str(tmp_path / "one.json")).collect()] == [("only",)]
+    (tmp_path / "record.json").write_text('{\n "a": "x",\n "b": 2\n}')
+    assert [tuple(r) for r in readers.read_table(spark, str(tmp_path / "record.json")).collect()] == [("x", "2")]
+
+
+def test_row_ids_pages_and_scratch(spark):
+    from pairwright.operators import results
+    from pairwright.sources import scratch
+
+    df = spark.range(1000).selectExpr("id", "1000 - id as back", "cast(id as string) as place").repartition(7).orderBy("back")
+    got = results.with_row_id(df, "place").collect()
+    assert sorted((r["place"], r["id"]) for r in got) == [(k + 1, 999 - k) for k in range(1000)]
+    assert results.with_row_id(df.limit(0)).count() == 0
+    scratch.clear_scratch(spark)
+    assert scratch._made == []
+
+
 def test_job(spark, tmp_path):
     df = samples.sample(spark, "companies")
     job = MatchJob.columns(df, str(tmp_path / "job"), "Company_A", "Company_B").start()
