@@ -374,7 +374,7 @@ NOTICES = [
     ("license-reference", "open source licen", r"(?:an |approved )?open source licen[sc]es?", 1, 0.3),
     ("cla", "contributor licen", r"(?:individual |corporate )?contributor license agreement", 2, 0.5),
     ("dco", "developer certificate of origin|developer s certificate of origin", r"developer(?: s)? certificate of origin(?: 1 1)?", 2, 0.5),
-    ("warranty-disclaimer", "as is", r"provided (?:by .{1,60}? )?as is(?: and any express or implied warranties)?", 1, 0.3),
+    ("warranty-disclaimer", "provided", r"provided (?:by .{1,60}? )?as is(?: and any express or implied warranties)?", 1, 0.3),
     ("warranty-disclaimer", "no event shall", r"in no event shall .{1,80}? be liable", 1, 0.3),
 ]
 

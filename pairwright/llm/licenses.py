@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .license_rules import GROUPS
-from .storage import count_words, without
+from .storage import count_pieces, without
 
 #: What parts the words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of an A-Z-lowered text, before lowering or after.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -73,37 +73,56 @@ def _keywords(rules: list[Rule]) -> list[str]:
 
 #: Words that stand in much prose of other kinds; they gate nothing by themselves.
 COMMON = {
-    "available", "control", "document", "educational", "event", "freedom", "general", "good", "government", "library", "network", "note", "open", "part", "personal",
-    "project", "public", "purposes", "received", "research", "restriction", "should", "software", "source", "special", "subject", "third", "united", "university", "useful",
-    "version", "without", "young",
+    "available", "control", "document", "event", "freedom", "general", "government", "library", "network", "other", "personal", "project", "public", "purposes",
+    "received", "restriction", "shall", "should", "software", "source", "special", "subject", "terms", "third", "under", "united", "university", "useful", "version", "without", "young",
 }
 
 
-def gate_words(rules: list[Rule]) -> dict[str, str]:
-    """For each keyword of the rules a word of it that stands for it, or the keyword itself if all its words are short or common.
+def gate_tokens(rules: list[Rule]) -> tuple[set[str], set[str], list[list[str]]] | None:
+    """What a text's words must begin with to have a match of any rule, made of the rules' keywords; None if a rule has none.
 
-    Words are shared where that comes easily. A text that holds none of them, wherever they begin, has no match of any rule.
+    One of the first, by its first five characters; or one of the second, by three; or all of one of the last, by five.
+    A keyword is stood for by one word that is neither short nor common, and else by all its words; of its last word, which may be cut,
+    by no more than it gives.
     """
-    words: dict[str, str] = {}
+    single: set[str] = set()
+    short: set[str] = set()
+    together: list[list[str]] = []
     for key in sorted(_keywords(rules), key=lambda k: (k.count(" "), len(k), k)):
-        fit = [w for w in key.split() if len(w) > 4 and w not in COMMON]
-        known = [w for w in words.values() if " " not in w and len(w) > 4 and any(w in x for x in fit)]
-        words[key] = known[0] if known else max(fit, key=len) if fit else key
-    return words
+        *whole, last = key.split() or [""]
+        fit = [w[:5] for w in [*whole, last] if len(w) >= 5 and w not in COMMON]
+        if fit:
+            single.add(next((w for w in fit if w in single), max(fit, key=len)))
+        elif whole:
+            together.append(sorted({w[:5] for w in whole} | ({last[:5]} if len(last) >= 5 else set())))
+        elif len(last) >= 3:
+            short.add(last[:3])
+        else:
+            return None
+    return single, short, together
 
 
-def _gate(low: Column, rules: list[Rule]) -> Column:
-    """Whether a lower-cased text may hold a keyword of the rules: by plain search for words, by one regex for the rest."""
-    of = set(gate_words(rules).values())
-    if "" in of:
+def _gate(pieces: Column, rules: list[Rule]) -> Column:
+    """Whether a text, lower-cased and split into its words, may hold a keyword of the rules: look-ups of its words' beginnings."""
+    tokens = gate_tokens(rules)
+    if tokens is None:
         return F.lit(True)
-    out = F.lit(False)
-    for word in sorted(w for w in of if " " not in w and len(w) > 3):
-        out = out | F.contains(low, F.lit(word))
-    rest = sorted(w for w in of if " " in w or len(w) <= 3)
-    if rest:
-        out = out | low.rlike(r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:" + "|".join(BETWEEN.join(k.split(" ")) for k in rest) + ")")
-    return out
+    single, short, together = tokens
+    constant = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
+    begins = lambda n: F.transform(pieces, lambda w: F.substring(w, 1, n))
+
+    def all_of_one(of):
+        held = F.array_intersect(constant(sorted({w for k in together for w in k}), "array<string>"), of)
+        return F.transform(F.array(held), lambda h: F.exists(constant(together, "array<array<string>>"), lambda k: F.size(F.array_except(k, h)) == 0))[0]
+
+    by_five = F.transform(F.array(begins(5)), lambda of: F.arrays_overlap(of, constant(sorted(single), "array<string>")) | all_of_one(of))[0]
+    return F.arrays_overlap(begins(3), constant(sorted(short), "array<string>")) | by_five
+
+
+def _token(key: str) -> str:
+    """The beginning, five characters at most, of one of the keyword's words; empty if its only word may be cut within these."""
+    *whole, last = key.split() or [""]
+    return max([w[:5] for w in whole] + [last[:5]] * (len(last) >= 5), key=len, default="")
 
 
 def _literal(rules: list[Rule]) -> Column:
@@ -111,15 +130,20 @@ def _literal(rules: list[Rule]) -> Column:
     groups: dict[str, list[dict]] = {}
     for r in rules:
         groups.setdefault(r.keyword, []).append({"pattern": _tagged(r.pattern), "label": r.label, "priority": r.priority, "weight": r.weight, "base": r.base})
-    rows = [{"keywords": [" " + k for k in keyword.split("|")], "rules": of} for keyword, of in groups.items()]
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<keywords:array<string>,rules:array<struct<pattern:string,label:string,priority:int,weight:double,base:boolean>>>>")
+    rows = [{"keywords": [{"text": " " + k, "token": _token(k)} for k in keyword.split("|")], "rules": of} for keyword, of in groups.items()]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<keywords:array<struct<text:string,token:string>>,rules:array<struct<pattern:string,label:string,priority:int,weight:double,base:boolean>>>>")
 
 
-def _found(groups: Column, plain: str, tagged: str) -> Column:
+def _found(rules: list[Rule], plain: str, tagged: str, words: str) -> Column:
     """All detections of the rules of which the text holds a keyword, by first word, longest first.
 
-    The two forms of the text are bound once: named in a lambda, they would be made anew for every rule.
+    Which words of keywords a text has is looked up first, and a keyword is searched for only if its word is there. The
+    forms of the text are bound once: named in a lambda, they would be made anew for every rule.
     """
+    groups = _literal(rules)
+    tokens = F.from_json(F.lit(json.dumps(sorted({_token(k) for k in _keywords(rules)} - {""}))), "array<string>")
+    present = F.concat(F.array(F.lit("")), F.array_intersect(tokens, F.transform(F.col(words), lambda w: F.substring(w, 1, 5))))
+
     def of(text, r):
         return F.transform(
             F.regexp_extract_all(text, r["pattern"], F.lit(0)),
@@ -134,10 +158,10 @@ def _found(groups: Column, plain: str, tagged: str) -> Column:
         )
 
     def all_of(t):
-        held = F.filter(groups, lambda g: F.exists(g["keywords"], lambda k: F.contains(t["plain"], k)))
+        held = F.filter(groups, lambda g: F.exists(g["keywords"], lambda k: F.array_contains(t["present"], k["token"]) & F.contains(t["plain"], k["text"])))
         return F.array_sort(F.flatten(F.transform(F.flatten(F.transform(held, lambda g: g["rules"])), lambda r: of(t["tagged"], r))))
 
-    return F.transform(F.array(F.struct(F.col(plain).alias("plain"), F.col(tagged).alias("tagged"))), all_of)[0]
+    return F.transform(F.array(F.struct(F.col(plain).alias("plain"), F.col(tagged).alias("tagged"), present.alias("present"))), all_of)[0]
 
 
 def _kept(found: str) -> Column:
@@ -181,17 +205,17 @@ def scan(df: DataFrame, rules: list[Rule] | None = None, text_col: str = "text")
     sources matter, and a text's work grows with its own length.
     """
     rules = default_rules() if rules is None else rules
-    df = without(df, [*ADDED, "_low", "_gate", "_words", "_plain", "_tagged", "_found", "_kept", "_base"])
+    df = without(df, [*ADDED, "_pieces", "_gate", "_words", "_plain", "_tagged", "_found", "_kept", "_base"])
     own = [F.col(f"`{c}`") for c in df.columns]
     text = F.col(f"`{text_col}`")
     words = F.when(F.col("_gate"), F.filter(F.split(F.translate(text, UPPER, LOWER), BETWEEN), lambda w: w != ""))
-    step = df.select(*own, F.lower(text).alias("_low"), count_words(text, BETWEEN).alias("n_words"))
-    step = step.select(*own, "n_words", F.coalesce(_gate(F.col("_low"), rules), F.lit(False)).alias("_gate"))
+    step = df.select(*own, F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN).alias("_pieces"))
+    step = step.select(*own, count_pieces(F.col("_pieces")).alias("n_words"), _gate(F.col("_pieces"), rules).alias("_gate"))
     step = step.withColumn("_words", words)
     step = step.withColumn("_plain", F.concat(F.lit(" "), F.array_join("_words", " "))).withColumn(
         "_tagged", F.array_join(F.transform("_words", lambda w, i: F.concat(w, F.lit("\x01"), i.cast("string"))), " ")
     )
-    step = step.withColumn("_found", F.when(F.col("_gate"), _found(_literal(rules), "_plain", "_tagged")).otherwise(F.array()))
+    step = step.withColumn("_found", F.when(F.col("_gate"), _found(rules, "_plain", "_tagged", "_words")).otherwise(F.array()))
     step = step.withColumn("_kept", _kept("_found")).withColumn("_base", F.filter("_found", lambda d: d["base"]))
     base_labels = F.array_sort(F.array_distinct(F.transform("_base", lambda d: d["label"])))
     return step.select(
