@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from .storage import materialize, owner, settings, without
 
 #: Bytes in a bucket: 1 / MAX_BUCKETS of all, within these bounds.
-LEAST_BYTES, MOST_BYTES, MAX_BUCKETS = 16_000_000, 256_000_000, 500_000
+LEAST_BYTES, MOST_BYTES, MAX_BUCKETS = 4_000_000, 256_000_000, 500_000
 #: Partitions that the buckets are dealt over; each holds many buckets of a large table.
 MAX_PARTITIONS = 50_000
 #: A bucket-offset table of this many rows is at most 16 MB and may be broadcast; a larger one is joined by shuffle.
