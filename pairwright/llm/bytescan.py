@@ -169,6 +169,26 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text", max_bytes:
     give_back()
 
 
+#: What a worker keeps between batches and tasks, by operator: how to drop it.
+_kept: dict[str, list] = {"": [_powers.clear]}
+_claimed = [""]
+
+
+def keeps(operator: str, drop) -> None:
+    """Says how to drop what an operator keeps in a worker."""
+    _kept.setdefault(operator, []).append(drop)
+
+
+def claim(operator: str) -> None:
+    """The worker works for this operator from now on: what it has kept for others goes."""
+    if _claimed[0] != operator:
+        for name, drops in _kept.items():
+            for drop in drops if name != operator else ():
+                drop()
+        _claimed[0] = operator
+        give_back()
+
+
 def give_back() -> None:
     """Return freed memory to the system: a worker lives on for other stages."""
     pa.default_memory_pool().release_unused()

@@ -23,6 +23,8 @@ from .storage import without
 SAMPLE_ROWS, SAMPLE_BYTES = 64, 32_000
 #: Bytes of a text that are parsed in step with other texts' bytes.
 SEGMENT = 1024
+#: Bytes of texts that a worker parses at a time.
+SLICE_BYTES = 1_500_000
 #: Bytes of transition tables held at a time.
 TABLE_BYTES = 128 << 20
 
@@ -32,15 +34,27 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.encode(F.col(f"`{id_col}`").cast("string"), "UTF-8")) % 5 == 0, F.lit(True))
 
 
-def sample_rows(df: DataFrame, rows: int, max_bytes: int, seed: int = 7) -> list[tuple]:
+def thinned(df: DataFrame, rows: int) -> DataFrame:
+    """df (group, h, ...) with about 4 rows of each group for each of `rows`, those whose hash h ends in a small number; a group keeps one at least."""
+    end = F.pmod("h", F.lit(1 << 30))
+    counts = df.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min(end).alias("least")).collect()
+    limits = [(r["group"], max(int(min(1.0, 4.0 * rows / r["n"]) * (1 << 30)), r["least"] + 1)) for r in counts]
+    kinds = T.StructType([T.StructField("group", df.schema["group"].dataType), T.StructField("limit", T.LongType())])
+    few = F.broadcast(df.sparkSession.createDataFrame(limits, kinds))  # a row a group
+    return df.join(few, "group").where(end < F.col("limit")).drop("limit")
+
+
+def sample_rows(df: DataFrame, rows: int, max_bytes: int, seed: int = 7, thin: bool = True) -> list[tuple]:
     """(group, text) of at most `rows` rows of each group of df (group, id, text), whole texts of max_bytes together at most.
 
     Rows come in the order of a seeded hash of id and text, such as are longer than max_bytes last and then by length; a group of
-    none but those gives its shortest one. Each partition sends `rows` keys of a group at most; texts are read in a second pass.
+    none but those gives the shortest one. All rows are hashed; about four times `rows` keys of a group are then put in order, unless
+    df is small already (thin=False). Texts are read in a last pass.
     """
     own = df.where("group is not null and text is not null").withColumn("h", F.xxhash64(F.lit(seed), "id", "text")).withColumn("size", F.octet_length("text"))
     order = Window.partitionBy("group").orderBy(F.greatest(F.col("size") - max_bytes, F.lit(0)), "h")
-    keys = own.select("group", "h", "size").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rows).collect()
+    keys = own.select("group", "h", "size")
+    keys = (thinned(keys, rows) if thin else keys).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rows).collect()
     chosen, used = {}, {}
     for k in sorted(keys, key=lambda k: k["nth"]):
         if k["group"] not in used or used[k["group"]] + k["size"] <= max_bytes:
@@ -71,7 +85,15 @@ def plain(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     keep = np.ones(len(out), np.bool_)
     keep[1:] = (out[1:] != 32) | (out[:-1] != 32)
     keep[offsets[:-1][offsets[:-1] < len(out)]] = True
-    return out[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+    return out[keep], np.concatenate([[0], np.cumsum(_per_text(keep, offsets))])
+
+
+def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many flags are set in each text."""
+    out, full = np.zeros(len(offsets) - 1, np.int64), np.flatnonzero(np.diff(offsets))
+    if len(full):
+        out[full] = np.add.reduceat(flags, offsets[full], dtype=np.int64)
+    return out
 
 
 class Automaton:
@@ -129,7 +151,7 @@ class Model:
         self.languages = sorted(samples)
         raw = {k: plain(np.frombuffer(v, np.uint8), np.array([0, len(v)]))[0] for k, v in samples.items()}
         seen = np.unique(np.concatenate(list(raw.values()))) if raw else np.zeros(0, np.uint8)
-        self.symbol = np.full(256, len(seen), np.int32)  # the last symbol is in no sample
+        self.symbol = np.full(256, min(len(seen), 255), np.uint8)  # the last symbol is in no sample
         self.symbol[seen] = np.arange(len(seen))
         self.width = len(seen) + 1
         self.automata = [Automaton(self.symbol[raw[k]]) for k in self.languages]
@@ -232,8 +254,7 @@ class Model:
         data, offsets = B.buffer_of(texts)
         letter = np.zeros(256, np.bool_)
         letter[[*range(65, 91), *range(97, 123)]] = True
-        cum = np.concatenate([[0], np.cumsum(letter[data])])
-        named = cum[offsets[1:]] > cum[offsets[:-1]]
+        named = _per_text(letter[data], offsets) > 0
         for i in np.flatnonzero(~named & (np.diff(offsets) > 0)):
             named[i] = any(c.isalpha() for c in bytes(data[offsets[i]:offsets[i + 1]]).decode("utf-8", "replace"))
         if not self.languages:
@@ -255,7 +276,7 @@ class Model:
 def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model of all languages of the rows that are not held out, from whole texts of at most `rows` rows and sample_bytes each.
 
-    A language all of whose rows are longer is learned from its shortest one. Rows without text or language teach nothing; without
+    A language all of whose sampled rows are longer is learned from the shortest of them. Rows without text or language teach nothing; without
     labelled rows the model knows no language.
     """
     own = df.where(~held_out(id_col) & (F.length(F.col(f"`{text_col}`")) > 0))
@@ -281,8 +302,9 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", returned: list
     shared = df.sparkSession.sparkContext.broadcast(model)  # about 1 MB a language, bounded by the sample's bytes
 
     def run(batches):
+        B.claim("langid")
         known = shared.value
-        for batch in B.slices(batches, text_col, 3_000_000):
+        for batch in B.slices(batches, text_col, SLICE_BYTES):
             lang, score, bits = known.predict(batch.column(columns.index(text_col)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(columns.index(c)) for c in returned] + [pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], [f.name for f in fields])
