@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from . import bytescan as B
 from .storage import discard, materialize, without
 
+#: Keys held in a worker before they are summed, and given out if that leaves half of them (16 MB).
+MAX_HELD = 1_000_000
 SYMBOLS = b"#*$%&|<>"
 #: Character classes, by byte; bytes that go on a code point count nothing.
 CLASSES = ["lower", "upper", "digit", "space", "mark", "symbol", "other", "wide"]
@@ -61,18 +63,20 @@ def _word_keys(words: B.Words) -> np.ndarray:
 
 def _count_references(batches):
     """Rows lang, kind, key, n; summed within the partition first, in bounded memory."""
+    B.claim("quality_rules")
     table = _class_table()
-    held: dict[tuple[str, str], tuple[np.ndarray, np.ndarray]] = {}
+    held: dict[tuple[str, str], list[tuple[np.ndarray, np.ndarray]]] = {}
+    size = 0
 
-    def add(lang, kind, keys, n):
-        if (lang, kind) in held:
-            keys, n = np.concatenate([held[lang, kind][0], keys]), np.concatenate([held[lang, kind][1], n])
-            keys, at = np.unique(keys, return_inverse=True)
-            n = np.bincount(at, weights=n).astype(np.int64)
-        held[lang, kind] = keys, n
+    def summed():
+        for of, parts in held.items():
+            keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            held[of] = [(keys, np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype(np.int64))]
+        return sum(len(parts[0][0]) for parts in held.values())
 
     def flush():
-        for (lang, kind), (keys, n) in held.items():
+        summed()
+        for (lang, kind), [(keys, n)] in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array([kind] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["lang", "kind", "key", "n"])
         held.clear()
 
@@ -83,12 +87,15 @@ def _count_references(batches):
         langs, at = np.unique(np.array(batch.column(0).to_pylist(), dtype=object).astype(str), return_inverse=True)
         value, of_word = _word_keys(words), np.repeat(at, words.counts)
         for k, lang in enumerate(langs):
-            add(str(lang), "class", np.arange(len(CLASSES)), counts[at == k].sum(axis=0).astype(np.int64))
-            add(str(lang), "words", np.zeros(1, np.int64), np.array([words.counts[at == k].sum()]))
-            keys, n = np.unique(value[of_word == k], return_counts=True)
-            add(str(lang), "word", keys, n)
-        if sum(len(k) for k, _ in held.values()) > 500_000:
-            yield from flush()
+            made = {"class": (np.arange(len(CLASSES)), counts[at == k].sum(axis=0).astype(np.int64)), "words": (np.zeros(1, np.int64), np.array([words.counts[at == k].sum()])), "word": np.unique(value[of_word == k], return_counts=True)}
+            for kind, part in made.items():
+                held.setdefault((str(lang), kind), []).append(part)
+                size += len(part[0])
+        if size > MAX_HELD:
+            size = summed()
+            if size > MAX_HELD // 2:
+                yield from flush()
+                size = 0
     yield from flush()
 
 
@@ -221,6 +228,7 @@ def assess(df: DataFrame, refs: dict, text_col: str = "text", returned: list[str
     fields = [df.schema[c] for c in returned] + [T.StructField(*f) for f in FIELDS]
 
     def run(batches):
+        B.claim("quality_rules")
         for batch in B.slices(batches, text_col):
             got = measure(batch.column(columns.index(text_col)), refs, max_class, max_word, min_chars, min_words)
             yield pa.RecordBatch.from_arrays([batch.column(columns.index(c)) for c in returned] + got, [f.name for f in fields])
