@@ -65,6 +65,7 @@ def minima(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _signs(batches, columns):
     """The named columns for each text of rows doc_id, text."""
+    B.claim("minhash")
     for batch in B.slices(batches, max_bytes=1_000_000):
         data, at = B.buffer_of(batch.column(1))
         sets, offsets = B.shingle_sets(B.Words(B.LOWER[data], at))

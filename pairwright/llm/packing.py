@@ -34,10 +34,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _worker_tokenizer(path: str, kept: dict = {}) -> WordTokenizer:
-    if path not in kept:
-        kept[path] = WordTokenizer(path)
-    return kept[path]
+_tokenizers: dict[str, WordTokenizer] = {}
+B.keeps("packing", _tokenizers.clear)
+
+
+def _worker_tokenizer(path: str) -> WordTokenizer:
+    B.claim("packing")
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
 
 
 def pieces(df: DataFrame, capacity: int = 4096, end: int = 1, path: str | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -49,7 +54,7 @@ def pieces(df: DataFrame, capacity: int = 4096, end: int = 1, path: str | None =
 
     def run(batches):
         tokenizer, salt = _worker_tokenizer(where), 0
-        for batch in B.slices(batches, max_bytes=2_000_000):
+        for batch in B.slices(batches):
             ids, offsets = tokenizer.encode(batch.column(1), end)
             ids = np.ascontiguousarray(ids, "<u4")
             counts = -(-np.diff(offsets) // capacity)

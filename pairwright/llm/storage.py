@@ -53,6 +53,13 @@ def small_batches(spark: SparkSession):
     return settings(spark, **{_BATCH_KEY.replace(".", "__"): str(BATCH_BYTES)})
 
 
+def small_batches_from_now(spark: SparkSession) -> None:
+    """The same for the rest of the session, for rows that are computed after the operator has returned; a smaller setting stays."""
+    now = spark.conf.get(_BATCH_KEY).lower().rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as Parquet to the shared folder; returns the table read back, and its path.
 

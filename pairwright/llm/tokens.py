@@ -8,13 +8,12 @@ from __future__ import annotations
 import os
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 from . import bytescan as B
 
 #: Words known at a time; beyond it a worker starts anew (about 50 MB).
-MAX_WORDS = 1_600_000
+MAX_WORDS = 1_200_000
 #: Words tokenized at a time; the tokenizer's objects take about a kilobyte each.
 AT_ONCE = 20_000
 #: Words in one call's text.
@@ -86,7 +85,8 @@ class WordTokenizer:
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids and len + 1 offsets; each text's ids are followed by `end` if given."""
         words = B.Words(*B.buffer_of(texts))
-        code, distinct = pd.factorize(words.hashes())
+        coded = pa.array(words.hashes()).dictionary_encode()
+        code, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy()
         first = np.zeros(len(distinct), np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
         entry = self._entries(words, distinct, first)[code] if len(code) else np.zeros(0, np.int64)
