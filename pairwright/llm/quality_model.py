@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from . import bytescan as B
-from .langid import held_out, sample_rows
+from .langid import held_out, sample_rows, thinned
 from .storage import without
 
 EMBED, FILTERS = 8, 16
@@ -164,10 +164,11 @@ def learn(df: DataFrame, labels: DataFrame, label_col: str = "quality", text_col
     Documents without label or text teach nothing; an id's texts, and its labels if they differ, are one document each.
     """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("group"))
-    order = Window.partitionBy("group").orderBy(F.xxhash64(F.lit(13), "id"), "id")
-    chosen = marked.distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rows).select("id", "group")
+    marked = thinned(marked.distinct().withColumn("h", F.xxhash64(F.lit(13), "id")), rows)
+    order = Window.partitionBy("group").orderBy("h", "id")
+    chosen = marked.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rows).select("id", "group")
     texts = df.where(F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    got = sample_rows(texts.join(F.broadcast(chosen), "id"), rows, sample_bytes, 13)  # rows a label at most are broadcast
+    got = sample_rows(texts.join(F.broadcast(chosen), "id"), rows, sample_bytes, 13, thin=False)  # rows a label at most are broadcast
     return train([text for _, text in got], [label for label, _ in got])
 
 
@@ -186,6 +187,7 @@ def score(df: DataFrame, net: Net, threshold: float = 0.3, text_col: str = "text
     fields = [df.schema[c] for c in returned] + [T.StructField(*f) for f in FIELDS]
 
     def run(batches):
+        B.claim("quality_model")
         for batch in B.slices(batches, text_col, 1_000_000):
             p = probabilities(net, batch.column(columns.index(text_col)))
             yield pa.RecordBatch.from_arrays([batch.column(columns.index(c)) for c in returned] + [pa.array(p), pa.array((p >= threshold).astype(np.int32))], [f.name for f in fields])
