@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairwright.llm import langid, minhash, mixing, packing, quality_rules
-from pairwright.llm.storage import discard, materialize, owner
+from pairwright.llm.storage import discard, held_tables, materialize, owner, small_batches_from_now
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str, sure: float = 0.6, sure_chars: int = 200) -> DataFrame:
@@ -19,6 +19,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str, sure: float =
     A prediction is sure from a score of `sure` on and for texts of sure_chars characters and more: a shorter text has some twenty phrases
     in any language, so a name or two may turn the ratio, and its label is then the better witness.
     """
+    small_batches_from_now(spark)  # the rows are computed when the caller writes them
     named = langid.identify(docs, langid.learn(docs))
     wrong = (F.col("lang_pred") != F.col("lang")) & (F.col("score") >= sure) & (F.length("text") >= sure_chars)
     return named.where((F.col("lang_pred") != "und") & ~F.coalesce(wrong, F.lit(False))).select(*docs.columns)
@@ -26,6 +27,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str, sure: float =
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what the quality rules reject."""
+    small_batches_from_now(spark)
     return quality_rules.assess(docs, quality_rules.references(docs)).where("kept").select(*docs.columns)
 
 
@@ -57,18 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over all documents. Each stage's table is deleted when the next one is written."""
-    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    """The last stage's rows over all documents. Each stage's tables are deleted when the next stage's rows are written."""
+    docs, before, own = spark.read.parquet(f"{sf_dir}/documents.parquet"), set(held_tables()), set()
     for name, stage in STAGES[:-1]:
-        written: list[str] = []
-
-        def step() -> DataFrame:
-            result, place = materialize(stage(spark, docs, sf_dir), name)
-            written.append(place)
-            return result
-
-        docs = owner(step)()
-        if path:
-            discard(spark, path)
-        path = written[0]
+        docs = owner(lambda docs=docs, stage=stage, name=name: materialize(stage(spark, docs, sf_dir), name)[0])()
+        discard(spark, *own)
+        own = set(held_tables()) - before
     return STAGES[-1][1](spark, docs, sf_dir)
