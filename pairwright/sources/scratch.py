@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import io
 import shutil
 import tempfile
 import uuid
+from typing import IO
 
 from pyspark.sql import SparkSession
 
@@ -32,6 +34,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_made[-1][1]}/{name}"
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete what was written to one scratch path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _made[:] = [m for m in _made if not (m[0] is spark and path.startswith(f"{m[1]}/"))]
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what the session has written to scratch paths; tables that read it are then of no use."""
     for owner, path in [m for m in _made if m[0] is spark]:
@@ -49,11 +58,17 @@ def _at_exit() -> None:
         shutil.rmtree(path, ignore_errors=True)
 
 
-def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
-    """A small file in any store that Spark writes."""
+def write_file(spark: SparkSession, path: str, content: IO[bytes]) -> None:
+    """An open file's rest to any store that Spark writes, a megabyte at a time."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
     try:
-        out.write(bytearray(content))
+        while chunk := content.read(1 << 20):
+            out.write(bytearray(chunk))
     finally:
         out.close()
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file in any store that Spark writes."""
+    write_file(spark, path, io.BytesIO(content))

@@ -47,6 +47,28 @@ def test_workbook_round_trip(spark, tmp_path):
     assert [xlsx._letters(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"] and xlsx._column("AAA9") == 702
 
 
+def test_tables_over_a_sheet_become_workbooks(spark, tmp_path, monkeypatch):
+    """All rows are exported in order, whatever their number; a later export leaves nothing of an earlier one."""
+    df = spark.range(25).selectExpr("id", "if(id % 3 = 0, null, concat('row ', id)) as t", "timestamp'2020-01-02 03:04:05' as at").repartition(3).orderBy("id")
+    rows, path = [(str(i), f"row {i}" if i % 3 else "", "2020-01-02 03:04:05") for i in range(25)], tmp_path / "t.xlsx"
+    for most, books in ((26, 1), (11, 3), (25, 2), (26, 1)):
+        monkeypatch.setattr(xlsx, "MAX_ROWS", most)
+        assert export.export(df, str(path), "xlsx") == str(path)
+        files = sorted(path.glob("*.xlsx")) if books > 1 else [path]
+        assert [f.name for f in files] == ([f"part-{k:05}.xlsx" for k in range(books)] if books > 1 else ["t.xlsx"])
+        sheets = [list(xlsx.sheet_rows(f.read_bytes())) for f in files]
+        assert all(s[0] == ["id", "t", "at"] for s in sheets) and {len(s) for s in sheets[:-1]} <= {most}
+        assert [tuple(c or "" for c in r) for s in sheets for r in s[1:]] == rows, most
+        assert sorted(tuple(r) for r in readers.read_table(spark, str(path)).collect()) == sorted(rows), most
+    export.write_xlsx(df.limit(0), str(path))
+    assert readers.read_table(spark, str(path)).columns == ["id", "t", "at"] and readers.read_table(spark, str(path)).count() == 0
+    (tmp_path / "other.xlsx").mkdir()
+    (tmp_path / "other.xlsx" / "notes.txt").write_text("kept")
+    with pytest.raises(ValueError):
+        export.write_xlsx(df, str(tmp_path / "other.xlsx"))
+    assert (tmp_path / "other.xlsx" / "notes.txt").read_text() == "kept"
+
+
 def test_samples(spark, tmp_path):
     paths = samples.write_samples(str(tmp_path))
     assert len(paths) == 4 and readers.read_table(spark, paths[-1]).count() == 4
